@@ -37,8 +37,13 @@ def is_day(c: Column) -> Column:
     return F.coalesce(c.rlike(rf"\A{DAY}\z"), F.lit(False))
 
 
+def _div(a: Column, b: int) -> Column:
+    return F.call_function("div", a, F.lit(b)).cast("int")
+
+
 def _year_start(y: Column) -> Column:
-    return 365 * (y - 1) + F.floor((8 * y + 21) / 33).cast("int")
+    """Days before year y: floor((12053*y - 12024) / 33), as 33 years have 12053 days."""
+    return _div(12053 * y - 12024, 33)
 
 
 def to_days(c: Column) -> Column:
@@ -49,14 +54,15 @@ def to_days(c: Column) -> Column:
 
 
 def from_days(n: Column) -> Column:
-    """The inverse of :func:`to_days`."""
-    at = n + _SHIFT
-    guess = (F.floor(at * 33 / 12053) + 1).cast("int")
-    y = F.when(_year_start(guess) > at, guess - 1).when(_year_start(guess + 1) <= at, guess + 1).otherwise(guess)
+    """The inverse of :func:`to_days`; null for null."""
+    at = n.cast("int") + _SHIFT
+    y = _div(33 * at + 12056, 12053)
     doy = at - _year_start(y)
-    m = F.when(doy < 186, F.floor(doy / 31) + 1).otherwise(F.floor((doy - 186) / 30) + 7)
-    d = F.when(doy < 186, doy % 31 + 1).otherwise((doy - 186) % 30 + 1)
-    return F.when(n.isNotNull(), F.format_string("%04d-%02d-%02d", y.cast("int"), m.cast("int"), d.cast("int")))
+    late = doy >= 186
+    m = F.when(late, _div(doy - 186, 30) + 7).otherwise(_div(doy, 31) + 1)
+    d = F.when(late, (doy - 186) % 30 + 1).otherwise(doy % 31 + 1)
+    two = lambda c: F.lpad(c.cast("string"), 2, "0")
+    return F.concat(F.lpad(y.cast("string"), 4, "0"), F.lit("-"), two(m), F.lit("-"), two(d))
 
 
 def next_day(c: Column) -> Column:
