@@ -2,12 +2,43 @@
 
 from __future__ import annotations
 
-from tarazu.plans import problems
+from collections.abc import Callable
+from importlib import import_module
+
+from pyspark.sql import DataFrame, SparkSession
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+_MODULES = ("problems", "quality", "texts", "ranking", "measures", "workload", "vectors")
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name, with its SQL."""
+
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _load() -> None:
+    for m in _MODULES:
+        import_module(f"tarazu.plans.{m}")
 
 
 def queries() -> dict:
-    return {**problems.QUERIES}
+    _load()
+    from tarazu.plans import problems
+
+    return {**problems.QUERIES, **QUERIES}
 
 
 def oracle_sql() -> dict:
-    return {**problems.SQL}
+    _load()
+    from tarazu.plans import problems
+
+    return {**problems.SQL, **SQL}
