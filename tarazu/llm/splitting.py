@@ -40,6 +40,7 @@ class _Ruler:
         self.text, self.tok = text, tok
         self.places, self.before = tok.steps(text)
         self._cuts: dict[int, np.ndarray] = {}
+        self.cut_up = False  # whether places lie inside what the tokenizer takes as one
 
     def cuts(self, level: int) -> np.ndarray:
         """Indexes into ``places`` of the boundaries of one level, ascending."""
@@ -48,14 +49,29 @@ class _Ruler:
                 self._cuts[level] = np.arange(1, len(self.places) - 1)
             else:
                 at = np.fromiter((m.end() for m in SEPARATORS[level][1].finditer(self.text)), np.int64)
+                at = at[(at > 0) & (at < self.places[-1])]
                 k = np.searchsorted(self.places, at)
-                k = k[(k > 0) & (k < len(self.places) - 1)]
-                self._cuts[level] = np.unique(k[self.places[k] == at[(np.searchsorted(self.places, at) > 0) & (np.searchsorted(self.places, at) < len(self.places) - 1)]])
+                self._cuts[level] = np.unique(k[self.places[k] == at])
         return self._cuts[level]
 
     def size(self, a: int, b: int) -> int:
         return int(self.before[b] - self.before[a])
 
+    def alone(self, a: int, b: int) -> int:
+        """Tokens of that part as a text of its own."""
+        if self.cut_up:
+            return self.tok.count(self.text[int(self.places[a]) : int(self.places[b])])
+        return self.tok.between(self.text, self.places, self.before, a, b)
+
+    def word_from(self, a: int, b: int) -> int:
+        """The first place from ``a`` to before ``b`` that begins a word (with the blank before it); ``a`` if there is none."""
+        text, places = self.text, self.places
+        for k in range(max(a, 1), b):
+            at = int(places[k])
+            if text[at].isspace() and not text[at - 1].isspace():
+                return k
+        return a
+
 
 def _finer(ruler: _Ruler, limit: int) -> _Ruler:
     """A ruler in which no step is larger than ``limit``: a run of characters with more tokens is cut between characters."""
@@ -77,7 +93,7 @@ def _finer(ruler: _Ruler, limit: int) -> _Ruler:
             n = ruler.tok.count(ruler.text[a:b])
         places.append(b)
         before.append(before[-1] + n)
-    ruler.places, ruler.before, ruler._cuts = np.asarray(places), np.asarray(before), {}
+    ruler.places, ruler.before, ruler._cuts, ruler.cut_up = np.asarray(places), np.asarray(before), {}, True
     return ruler
 
 
@@ -104,12 +120,11 @@ def split_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP, path: str
     if (len(text) <= limit or len(text) * 4 < limit) and (n := tok.count(text)) <= limit:
         return [(0, len(text), n, 0)]
     ruler = _Ruler(text, tok)
-    if ruler.before[-1] <= limit and (n := tok.count(text)) <= limit:
+    if ruler.before[-1] <= limit and (n := ruler.alone(0, len(ruler.places) - 1)) <= limit:
         return [(0, len(text), n, 0)]
     room = limit - overlap  # what a piece adds to its overlap, so that every part fits behind one
     ruler = _finer(ruler, room)
     parts = list(_parts(ruler, 0, len(ruler.places) - 1, 0, room))
-    words = np.r_[0, ruler.cuts(len(SEPARATORS) - 1), len(ruler.places) - 1]
     out: list[tuple[int, int, int, int]] = []
     k = 0
     end = 0  # index of the place up to which the text is in pieces
@@ -117,21 +132,19 @@ def split_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP, path: str
         start = end
         if out and overlap:
             least = int(np.searchsorted(ruler.before, ruler.before[end] - overlap))
-            at = int(words[min(np.searchsorted(words, least), len(words) - 1)])
-            start = at if least <= at < end else least
-            start = max(start, int(np.searchsorted(ruler.places, out[-1][0], "right")))
+            start = max(ruler.word_from(least, end), int(np.searchsorted(ruler.places, out[-1][0], "right")))
         stop = k
         while stop < len(parts) and (stop == k or ruler.size(start, parts[stop][1]) <= limit):
             stop += 1
         a, b = int(ruler.places[start]), int(ruler.places[parts[stop - 1][1]])
-        n = tok.count(text[a:b])
+        n = ruler.alone(start, parts[stop - 1][1])
         while n > limit and (stop - k > 1 or start < end):  # tokens at the edges of a piece can differ from those inside the text
             if stop - k > 1:
                 stop -= 1
             else:
                 start += 1
             a, b = int(ruler.places[start]), int(ruler.places[parts[stop - 1][1]])
-            n = tok.count(text[a:b])
+            n = ruler.alone(start, parts[stop - 1][1])
         out.append((a, b, n, int(ruler.places[end]) - a))
         end = parts[stop - 1][1]
         k = stop

@@ -20,6 +20,19 @@ DEFAULT_FILE = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 PRETOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+class _Sizes(dict):
+    """Tokens of pretokens, by need.  It saves time only and is emptied when it is large."""
+
+    def __init__(self, encode):
+        self.encode = encode
+
+    def __missing__(self, piece: str) -> int:
+        if len(self) >= 1 << 19:
+            self.clear()
+        n = self[piece] = len(self.encode(piece))
+        return n
+
+
 class ByteBpe:
     """Ranks file of a byte-level vocabulary."""
 
@@ -29,24 +42,29 @@ class ByteBpe:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, Path(path).open("rb"))}
         self.encoding = tiktoken.Encoding(Path(path).stem, pat_str=PRETOKENS, mergeable_ranks=ranks, special_tokens={})
         self.pattern = regex.compile(PRETOKENS)
-        self.known: dict[str, int] = {}
+        self.sizes = _Sizes(self.encoding.encode_ordinary)
 
     def count(self, text: str) -> int:
         return len(self.encoding.encode_ordinary(text))
 
-    def _size(self, piece: str) -> int:
-        n = self.known.get(piece)
-        if n is None:
-            if len(self.known) >= 1 << 19:  # saves time only
-                self.known.clear()
-            n = self.known[piece] = len(self.encoding.encode_ordinary(piece))
-        return n
+    def between(self, text: str, places: np.ndarray, before: np.ndarray, i: int, j: int) -> int:
+        """Tokens of the text from place ``i`` to place ``j`` if it stood alone, as :meth:`count` would say: pretokens are the same as inside
+        the text, but for blanks at its end, which are one pretoken there."""
+        a, b = int(places[i]), int(places[j])
+        last = b
+        while last > a and text[last - 1].isspace():
+            last -= 1
+        if last == b or b == len(text):
+            return int(before[j] - before[i])
+        k = int(np.searchsorted(places, last))
+        if last == a or places[k] != last:
+            return self.count(text[a:b])
+        return int(before[k] - before[i]) + self.sizes[text[last:b]]
 
     def steps(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Places at which the text can be cut between tokens, and the tokens before each."""
         parts = self.pattern.findall(text)
-        size = self._size
-        n = np.fromiter(map(size, parts), np.int64, len(parts))
+        n = np.fromiter(map(self.sizes.__getitem__, parts), np.int64, len(parts))
         length = np.fromiter(map(len, parts), np.int64, len(parts))
         return np.r_[0, np.cumsum(length)], np.r_[0, np.cumsum(n)]
 
@@ -63,6 +81,9 @@ class FastBpe:
     def count(self, text: str) -> int:
         return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
+    def between(self, text: str, places: np.ndarray, before: np.ndarray, i: int, j: int) -> int:
+        return self.count(text[int(places[i]) : int(places[j])])
+
     def steps(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         ends = [e for _, e in self.tokenizer.encode(text, add_special_tokens=False).offsets]
         return _steps(ends, len(text))
@@ -79,6 +100,9 @@ class Pieces:
     def count(self, text: str) -> int:
         return len(self.model.encode(text, num_threads=1))
 
+    def between(self, text: str, places: np.ndarray, before: np.ndarray, i: int, j: int) -> int:
+        return self.count(text[int(places[i]) : int(places[j])])
+
     def steps(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         ends = np.fromiter((p.end for p in self.model.encode(text, return_type="proto", num_threads=1).pieces), np.int64)
         raw = np.frombuffer(text.encode(), np.uint8)
