@@ -23,7 +23,7 @@ from tarazu.llm.lookalike import look
 
 #: Cosine from which a span can be a word; how far below its span's best a candidate may lie; score from which a token is no words
 #: typed together.
-THRESHOLD, WITHIN, WHOLE = 0.4, 0.25, 0.7
+THRESHOLD, WITHIN, WHOLE = 0.1, 0.9, 0.7
 #: Words of an entry that a value must carry, and the lead (share of the score) over the next entry.
 MIN_WORDS, MARGIN = 2, 0.02
 #: Words of neighbouring tokens that are tried as one.
@@ -89,15 +89,18 @@ def grams(word: str) -> tuple[tuple[str, float], ...]:
 class Titles:
     """An inverted n-gram index over the words of a list of titles, and of their other names."""
 
-    def __init__(self, titles: list[tuple[str, tuple[str, ...]]], aliases: list[tuple[str, str]]):
-        """``titles``: (id, words); ``aliases``: (word of a title, other name of one or more words, joined)."""
+    def __init__(self, titles: list[tuple[str, tuple[str, ...]]], aliases: list[tuple[str, tuple[str, ...]]]):
+        """``titles``: (id, words); ``aliases``: (word of a title, words of another name of it)."""
         self.ids = [i for i, _ in titles]
         self.words = [w for _, w in titles]
         self.with_word: dict[str, set[int]] = defaultdict(set)
         for n, ws in enumerate(self.words):
             for w in ws:
                 self.with_word[w].add(n)
-        self.surfaces: list[tuple[str, str]] = sorted({(w, w) for w in self.with_word} | {(name, w) for w, name in aliases if w in self.with_word})
+        self.surfaces: list[tuple[str, str]] = sorted({(w, w) for w in self.with_word} | {("".join(name), w) for w, name in aliases if w in self.with_word})
+        self.names_of: dict[int, set[str]] = defaultdict(set)
+        for w, name in aliases:
+            self.names_of[len(name)].add(w)
         self.exact: dict[str, list[str]] = defaultdict(list)
         self.cut_short: dict[str, set[str]] = defaultdict(set)
         for surface, word in self.surfaces:
@@ -125,6 +128,8 @@ class Titles:
 
     def lookup(self, span: str) -> list[tuple[str, float]]:
         """Words of the list like ``span``, with their cosine."""
+        if span in self.exact:  # spelt right, it is no slip of another word
+            return [(w, 1.0) for w in self.exact[span]]
         found = self._cache.get(span)
         if found is None:
             score: dict[int, float] = defaultdict(float)
@@ -153,7 +158,8 @@ class Titles:
         best = [0.0] * len(tokens)
         for i in range(len(tokens)):
             for j in range(i + 1, min(len(tokens), i + JOINED) + 1):
-                for w, s in self.lookup("".join(tokens[i:j])):
+                # Tokens are joined to find names of as many words; one word is not looked for in two, unless it is there letter by letter.
+                for w, s in self.lookup("".join(tokens[i:j])) if j == i + 1 else self.joined("".join(tokens[i:j]), j - i):
                     out.append((starts[i], starts[j], w, s))
                     for k in range(i, j):
                         best[k] = max(best[k], s)
@@ -168,10 +174,17 @@ class Titles:
                         out += [(starts[i] + a, starts[i] + b, w, s) for w, s in self.part(t[a:b], at_end)]
         return out
 
+    def joined(self, span: str, n: int) -> list[tuple[str, float]]:
+        """Words that ``n`` tokens written together stand for."""
+        if span in self.exact:
+            return self.lookup(span)
+        named = self.names_of.get(n)
+        return [(w, s) for w, s in self.lookup(span) if w in named] if named else []
+
     def part(self, span: str, slip: bool) -> list[tuple[str, float]]:
         """Words that a part of a token stands for: exactly, from 4 letters on, or with one slip from 5 on."""
         if span in self.exact:
-            return [(w, 1.0) for w in self.exact[span]] if len(span) >= 4 else []
+            return self.lookup(span) if len(span) >= 4 else []
         return [(w, s) for w, s in self.lookup(span) if s > 0.85 and len(span) >= 5] if slip else []
 
     def match(self, text: str | None) -> list[tuple[float, int]]:
@@ -228,7 +241,7 @@ def _words_udf(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: words_of(t) if isinstance(t, str) else [])
 
 
-def _block_matches(values: DataFrame, titles: list[tuple[str, tuple[str, ...]]], aliases: list[tuple[str, str]]) -> DataFrame:
+def _block_matches(values: DataFrame, titles: list[tuple[str, tuple[str, ...]]], aliases: list[tuple[str, tuple[str, ...]]]) -> DataFrame:
     """``(value, entry, score, next_score)`` over one block of the list, shipped to the tasks once."""
     shipped = values.sparkSession.sparkContext.broadcast((titles, aliases))
 
@@ -256,15 +269,15 @@ def map_values(values: DataFrame, value: str, titles: DataFrame, key: str, title
     """
     distinct = values.select(F.col(value).cast("string").alias("value")).where("value IS NOT NULL AND value <> ''").distinct()
     entries = canonical_titles(titles.select(F.col(key).cast("string").alias("k"), F.col(title).alias("t")), "k", "t")
-    joined = lambda c: F.array_join(_words_udf(F.col(c).cast("string")), "")
-    names = aliases.where(F.col(alias_of).isNotNull() & F.col(alias).isNotNull()).select(joined(alias_of).alias("word"), joined(alias).alias("name")).where("word <> '' AND name <> ''").distinct()
+    names = aliases.where(F.col(alias_of).isNotNull() & F.col(alias).isNotNull()).select(F.array_join(_words_udf(F.col(alias_of).cast("string")), "").alias("word"), _words_udf(F.col(alias).cast("string")).alias("name"))
+    names = names.where("word <> '' AND size(name) > 0").distinct()
     found = None
     blocks = max(1, -(-entries.count() // block))
     for n in range(blocks):
         part = entries.where(F.pmod(F.xxhash64("k"), F.lit(blocks)) == n) if blocks > 1 else entries
         held = sorted((r.k, tuple(r.words)) for r in part.collect())
         used = part.select(F.explode("words").alias("word")).distinct()
-        named = sorted((r[0], r[1]) for r in names.join(used, "word", "left_semi").select("word", F.col("name")).collect())
+        named = sorted((r[0], tuple(r[1])) for r in names.join(used, "word", "left_semi").select("word", F.col("name")).collect())
         got = _block_matches(distinct, held, named)
         found = got if found is None else found.unionByName(got)
     if blocks > 1:
