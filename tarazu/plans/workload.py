@@ -313,3 +313,54 @@ def silver_v2(spark: SparkSession, folder: str) -> DataFrame:
     n_seller = wl.subset_matches(t, "ID", "tokens", g, "key", "q").withColumnRenamed("n_ids", "n_seller")
     n_catalog = wl.subset_matches(t, "ID", "tokens", back, "key", "cq").withColumnRenamed("n_ids", "n_catalog")
     return g.join(n_seller, "key").join(n_catalog, "key").select("term_n", "level", "query", "row_n", "n_seller", "n_catalog")
+
+
+MOST = 20  # IDs that a query may mean
+
+
+@query(
+    f"""WITH {classified_sql(_BOTH)}, {_TITLES}, {_POOL}, {derived_sql('(SELECT a.* FROM act a JOIN pool USING (row_n))')}, qq AS (SELECT cell, row_n, {query_sql(1)} AS q FROM dv JOIN pool USING (row_n)),
+m AS (SELECT q, (SELECT count(DISTINCT ID) FROM tt WHERE len(w) > 0 AND list_has_all(t, w)) AS n_ids FROM (SELECT DISTINCT q, list_distinct({tokens_sql('q')}) AS w FROM qq)),
+ok AS (SELECT q, min((cell, row_n)) AS f, any_value(n_ids) AS n_ids FROM qq JOIN m USING (q) WHERE n_ids BETWEEN 1 AND {MOST} GROUP BY q),
+e AS (SELECT f[1] AS cell, f[2] AS row_n, q, n_ids, CAST(row_number() OVER (PARTITION BY f[1] ORDER BY f[2]) AS INTEGER) AS place FROM ok QUALIFY place <= {QUOTA})
+SELECT cell, row_n, place, n_ids, CASE WHEN n_ids = 1 THEN 'S' ELSE 'C' END AS tier, CASE WHEN place % 5 = 0 THEN replace(replace(q, 'ی', 'ي'), 'ک', 'ك') ELSE q END AS query FROM e"""
+)
+def silver_v1(spark: SparkSession, folder: str) -> DataFrame:
+    """Queries of every cell until its quota: accepted if they mean at most ``MOST`` IDs and no earlier cell has them; every fifth with
+    noise."""
+    q = pool(spark, folder).withColumn("d", wl.derive(F.col("DescriptionOfID"), F.col("Type"))).select("cell", "row_n", wl.build_query(F.col("d"), 1).alias("query"))
+    wanted = q.select("query").distinct().withColumn("w", tx.tokenize(F.col("query")))
+    n = wl.subset_matches(titles(spark, folder), "ID", "tokens", wanted, "query", "w").where(F.col("n_ids").between(1, MOST))
+    accepted = wl.emit_until(q.join(n, "query").withColumn("quota", F.lit(QUOTA)), "cell", "quota", "query", "row_n")
+    noisy = F.when(F.col("place") % 5 == 0, wl.noise(F.col("query"), "arabic_letters")).otherwise(F.col("query"))
+    return accepted.join(n, "query").select("cell", "row_n", "place", "n_ids", F.when(F.col("n_ids") == 1, "S").otherwise("C").alias("tier"), noisy.alias("query"))
+
+
+_CLASS = f"cls AS (SELECT term_n, hd.ID, list_distinct({tokens_sql('DescriptionOfID')}) AS t FROM asg JOIN hd USING (row_n) UNION ALL SELECT term_n, hd.ID, list_distinct({tokens_sql('DescriptionOfID')}) FROM hd JOIN terms ON len(seller) > 0 AND h[1:len(seller)] = seller)"
+
+
+@query(
+    f"""WITH {_LADDER}, {_CLASS}, x AS (SELECT term_n, row_n, array_to_string(h, ' ') AS hh FROM asg JOIN hd USING (row_n)), a AS (SELECT *, row_number() OVER (PARTITION BY term_n, hh ORDER BY row_n) AS rd FROM x QUALIFY rd <= {PER_PAIR}),
+picked AS (SELECT term_n, row_n, row_number() OVER (PARTITION BY term_n ORDER BY rd, row_n) AS place FROM a QUALIFY place <= {PER_PAIR}),
+lq AS (SELECT ld.*, len(sub) AS n_sub FROM ld JOIN picked USING (term_n, row_n) JOIN sb USING (row_n)),
+g AS (SELECT term_n, level, array_to_string(q, ' ') AS query, min(row_n) AS row_n FROM lq GROUP BY ALL),
+w AS (SELECT g.*, lq.q[lq.n_sub + 1:] AS required FROM g JOIN lq ON g.term_n = lq.term_n AND g.level = lq.level AND g.row_n = lq.row_n)
+SELECT CAST(term_n AS INTEGER) AS term_n, level, query, row_n, n_label, CASE WHEN n_label = 1 THEN 'S' ELSE 'C' END AS tier FROM (SELECT term_n, level, query, row_n, (SELECT count(DISTINCT ID) FROM cls WHERE cls.term_n = w.term_n AND list_has_all(t, required)) AS n_label FROM w)"""
+)
+def silver_v2b(spark: SparkSession, folder: str) -> DataFrame:
+    """The ladder of ten rows of each pair in the sellers' words, without repeats, each query with the number of IDs it may mean: those whose head is of
+    the pair (in either's words) and whose title has the words besides the head."""
+    h, t = heads(spark, folder), terms(spark, folder)
+    s = _substituted(spark, folder)
+    picked = wl.round_robin(s.select("term_n", "row_n", F.array_join("head_tokens", " ").alias("hh")), "term_n", "hh", [F.col("row_n")], PER_PAIR).select("term_n", "row_n")
+    lad = s.join(picked, ["term_n", "row_n"]).select("term_n", "row_n", F.explode(wl.detail_ladder(F.col("d"), F.col("sub"))).alias("l"))
+    g = lad.groupBy("term_n", F.col("l.level").alias("level"), F.array_join("l.query", " ").alias("query")).agg(F.min(F.struct("row_n", F.col("l.required").alias("required"))).alias("f"))
+    # Membership of a pair's class is one more token, so that the class is part of the subset test.
+    mark = lambda c: F.concat(F.lit("\x1f"), c.cast("string"))
+    spans = h.select("row_n", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size("head_tokens"), F.lit(1))), lambda n: F.array_join(F.slice("head_tokens", 1, n), " "))).alias("span"))
+    by_seller = spans.join(t.where(F.size("seller") > 0).select("term_n", F.array_join("seller", " ").alias("span")), "span").select("row_n", "term_n")
+    member = s.select("row_n", "term_n").unionByName(by_seller).groupBy("row_n").agg(F.collect_set(mark(F.col("term_n"))).alias("marks"))  # pairs of one head
+    rows = h.join(member, "row_n").select("ID", F.concat(tx.tokenize(F.col("DescriptionOfID")), "marks").alias("tokens"))
+    keyed = g.select("term_n", "level", "query", F.col("f.row_n").alias("row_n"), F.concat(F.array(mark(F.col("term_n"))), "f.required").alias("w"), F.concat_ws("|", "term_n", "level", "query").alias("key"))
+    n = wl.subset_matches(rows, "ID", "tokens", keyed, "key", "w")
+    return keyed.join(n, "key").select("term_n", "level", "query", "row_n", F.col("n_ids").alias("n_label"), F.when(F.col("n_ids") == 1, "S").otherwise("C").alias("tier"))
