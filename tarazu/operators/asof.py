@@ -135,6 +135,7 @@ def as_known_at(
     # The order of preference within one day, as a number: the search needs no other column of it.
     right = right.select("__e", "__from", "__to", "__known", *(F.col(f"b.{k}").alias(k) for k in attributes), bucket, "__salt", "b")
     worst_first = [F.col(f"b.r{i}").desc() for i in range(len(prefer))] or [F.lit(0)]
+    right = right.repartition("__bucket", "__salt")  # the window below and the co-group share this shuffle
     right = right.withColumn("__pref", F.row_number().over(W.partitionBy("__bucket", "__salt", "__e", "__from").orderBy(*worst_first)).cast("long")).drop("b")
 
     schema = T.StructType([*(T.StructField(k, left.schema[k].dataType) for k in carry), *(T.StructField(k, right.schema[k].dataType) for k in attributes)])
