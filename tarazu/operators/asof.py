@@ -128,8 +128,10 @@ def as_known_at(
     best = F.min(F.struct(*(r.alias(f"r{i}") for i, r in enumerate(ranks)), *(F.col(f"__v_{k}").alias(k) for k in attributes)))
     v = v.groupBy("__e", "__from", "__to", "__known").agg(best.alias("b"))
 
-    parts = max(1, -(-e.count() // group_rows))
-    left, right = salted(e, v, ["__e"], [F.col("__at"), *(F.col(k) for k in carry)], group_rows)
+    # A key with more than an eighth of a group is spread: its parts come on top of what else hashes to their group.
+    total = e.count()
+    parts = max(1, -(-total // group_rows))
+    left, right = salted(e, v, ["__e"], [F.col("__at"), *(F.col(k) for k in carry)], max(1, group_rows // 8), total)
     bucket = F.pmod(F.xxhash64("__e"), F.lit(parts)).cast("int").alias("__bucket")
     left = left.select("__e", "__at", *carry, bucket, "__salt")
     # The order of preference within one day, as a number: the search needs no other column of it.
