@@ -16,9 +16,10 @@ from tarazu.sources.tables import both_catalogs, is_id, table
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     lines = table(spark, folder, "demo_invoices").where(is_id(F.col("sstid")) & (F.col("sstt") != "")).select("line_id", F.col("sstid").alias("id"), "sstt")
-    rows = both_catalogs(spark, folder).where(is_id(F.col("ID")) & F.col("DescriptionOfID").isNotNull()).select(F.col("ID").alias("id"), "row_n", "DescriptionOfID", look_same_form(F.col("DescriptionOfID")).alias("form"))
+    rows = both_catalogs(spark, folder).where(is_id(F.col("ID")) & F.col("DescriptionOfID").isNotNull()).select(F.col("ID").alias("id"), "row_n", "DescriptionOfID", F.coalesce(look_same_form(F.col("DescriptionOfID")), F.lit("")).alias("form"))
     left, right = salted(lines, rows, ["id"], [F.col("line_id")])
-    same = left.withColumn("form", look_same_form(F.col("sstt"))).join(right, ["id", "form", "__salt"])
+    # A form that cannot be null: else the join would filter by it below, and compute it twice.
+    same = left.withColumn("form", F.coalesce(look_same_form(F.col("sstt")), F.lit(""))).join(right, ["id", "form", "__salt"])
     return same.where("sstt <> DescriptionOfID").select("line_id", "row_n").distinct()
 
 
