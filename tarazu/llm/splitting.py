@@ -109,23 +109,23 @@ def _parts(ruler: _Ruler, a: int, b: int, level: int, limit: int) -> Iterator[tu
         yield from _parts(ruler, x, y, level + 1, limit)
 
 
-def split_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP, path: str = DEFAULT_FILE) -> list[tuple[int, int, int, int]]:
-    """``(from, to, tokens, overlap)`` of the pieces of a text: character positions, tokens of the piece, and the characters at its
-    beginning that the piece before it has too.  A text within the limit is one piece, an empty one none."""
+def split_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP, path: str = DEFAULT_FILE) -> list[tuple[int, int, int, int, int]]:
+    """``(from, to, tokens, overlap, overlap_tokens)`` of the pieces of a text: character positions, tokens of the piece, and the characters at its
+    beginning that the piece before it has too, with their tokens.  A text within the limit is one piece, an empty one none."""
     if limit < 1 or not 0 <= overlap < limit:
         raise ValueError("the limit must be positive and larger than the overlap")
     if not text:
         return []
     tok = tokenizer(path)
     if (len(text) <= limit or len(text) * 4 < limit) and (n := tok.count(text)) <= limit:
-        return [(0, len(text), n, 0)]
+        return [(0, len(text), n, 0, 0)]
     ruler = _Ruler(text, tok)
     if ruler.before[-1] <= limit and (n := ruler.alone(0, len(ruler.places) - 1)) <= limit:
-        return [(0, len(text), n, 0)]
+        return [(0, len(text), n, 0, 0)]
     room = limit - overlap  # what a piece adds to its overlap, so that every part fits behind one
     ruler = _finer(ruler, room)
     parts = list(_parts(ruler, 0, len(ruler.places) - 1, 0, room))
-    out: list[tuple[int, int, int, int]] = []
+    out: list[tuple[int, int, int, int, int]] = []
     k = 0
     end = 0  # index of the place up to which the text is in pieces
     while k < len(parts):
@@ -145,43 +145,43 @@ def split_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP, path: str
                 start += 1
             a, b = int(ruler.places[start]), int(ruler.places[parts[stop - 1][1]])
             n = ruler.alone(start, parts[stop - 1][1])
-        out.append((a, b, n, int(ruler.places[end]) - a))
+        out.append((a, b, n, int(ruler.places[end]) - a, ruler.alone(start, end) if start < end else 0))
         end = parts[stop - 1][1]
         k = stop
     return out
 
 
 def split_documents(docs: DataFrame, doc_id: str, text: str, limit: int = LIMIT, overlap: int = OVERLAP, tokenizer_file: str = DEFAULT_FILE) -> DataFrame:
-    """``(doc_id, piece_n, n_pieces, start, end, n_tokens, overlap_chars, text)``: every document in pieces of at most ``limit`` tokens.
+    """``(doc_id, piece_n, n_pieces, start, end, n_tokens, overlap_chars, overlap_tokens, text)``: every document in pieces of at most ``limit`` tokens.
 
     A document within the limit is one piece; a null or empty text has none.  Only a single character that is more tokens than the
     limit makes a piece over it.  Nothing is shuffled: a document is split where it is read.  Other columns are not read.
     """
     kind = docs.schema[doc_id].dataType
-    names = ["doc_id", "piece_n", "n_pieces", "start", "end", "n_tokens", "overlap_chars", "text"]
+    names = ["doc_id", "piece_n", "n_pieces", "start", "end", "n_tokens", "overlap_chars", "overlap_tokens", "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns: list[list] = [[] for _ in range(7)]
+            columns: list[list] = [[] for _ in range(8)]
             owners: list[int] = []
             for row, t in enumerate(batch.column(1)):
                 whole = t.as_py()
                 if not whole:
                     continue
                 pieces = split_text(whole, limit, overlap, tokenizer_file)
-                for i, (a, b, n, o) in enumerate(pieces):
+                for i, (a, b, n, o, on) in enumerate(pieces):
                     owners.append(row)
-                    for c, v in zip(columns, (i + 1, len(pieces), a, b, n, o, whole[a:b])):
+                    for c, v in zip(columns, (i + 1, len(pieces), a, b, n, o, on, whole[a:b])):
                         c.append(v)
                 if len(owners) >= 20_000:
                     yield _batch(batch, owners, columns)
-                    columns, owners = [[] for _ in range(7)], []
+                    columns, owners = [[] for _ in range(8)], []
             if owners:
                 yield _batch(batch, owners, columns)
 
     def _batch(batch: pa.RecordBatch, owners: list[int], columns: list[list]) -> pa.RecordBatch:
-        types = [pa.int32()] * 6 + [pa.string()]
+        types = [pa.int32()] * 7 + [pa.string()]
         return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owners)), *(pa.array(c, t) for c, t in zip(columns, types))], names=names)
 
-    schema = f"doc_id {kind.simpleString()}, piece_n int, n_pieces int, start int, end int, n_tokens int, overlap_chars int, text string"
+    schema = f"doc_id {kind.simpleString()}, piece_n int, n_pieces int, start int, end int, n_tokens int, overlap_chars int, overlap_tokens int, text string"
     return docs.select(F.col(doc_id), F.col(text)).where(F.col(text) != "").mapInArrow(run, schema)

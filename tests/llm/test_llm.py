@@ -4,6 +4,8 @@ import random
 import unicodedata
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tarazu.llm import canonical, leakage, lookalike, mixing, splitting, tokens
@@ -208,7 +210,7 @@ def test_pieces_round_trip(path, limit, overlap):
     for text in TEXTS:
         pieces = splitting.split_text(text, limit, overlap, path)
         rebuilt, last = "", None
-        for a, b, n, o in pieces:
+        for a, b, n, o, on in pieces:
             assert n == tok.count(text[a:b]) and n <= limit and b > a
             assert a + o == (last if last is not None else 0)
             if last is not None:
@@ -222,7 +224,7 @@ def test_pieces_round_trip(path, limit, overlap):
 
 def test_pieces_are_cut_at_the_strongest_boundary():
     text = "# A\n" + "one two three. " * 6 + "\n\n" + "four five six. " * 6 + "\n# B\n" + "seven eight. " * 10
-    pieces = [text[a:b] for a, b, _, _ in splitting.split_text(text, 48, 0)]
+    pieces = [text[a:b] for a, b, *_ in splitting.split_text(text, 48, 0)]
     assert any(p.startswith("\n# B") for p in pieces)
     assert all(p.rstrip().endswith((".", "\n")) or p.rstrip().endswith(".") for p in pieces)
     with pytest.raises(ValueError):
@@ -237,6 +239,22 @@ def test_pieces_of_a_table(spark):
     assert splitting.split_documents(df.limit(0), "doc_id", "text").count() == 0
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet="ab .\n#؟۱é\u200c😀", max_size=300), st.integers(2, 20))
+def test_any_text_round_trips(text, limit):
+    pieces = splitting.split_text(text, limit, limit // 3)
+    assert "".join(text[a + o : b] for a, b, _, o, _ in pieces) == text
+    tok = tokens.tokenizer()
+    assert all(n == tok.count(text[a:b]) and (n <= limit or b - a == 1) for a, b, n, *_ in pieces)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="aАΑ٣3۳ يیى\u200c\u0301\u0654eеﯼﻱو-‑", max_size=12))
+def test_any_form_is_stable(text):
+    assert look(look(text)) == look(text)
+    assert look(unicodedata.normalize("NFD", text)) == look(text) == look(" " + text + "\u200b")
+
+
 def test_token_counts(spark):
     df = spark.createDataFrame([("hello world",), (None,), ("",)], "t string")
     want = len(tokens.tokenizer().encoding.encode_ordinary("hello world"))
