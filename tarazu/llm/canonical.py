@@ -268,6 +268,8 @@ def map_values(values: DataFrame, value: str, titles: DataFrame, key: str, title
     words, null keys and null titles match nothing; with an empty list every value is unmatched.
     """
     distinct = values.select(F.col(value).cast("string").alias("value")).where("value IS NOT NULL AND value <> ''").distinct()
+    # Few bytes, much work: adaptive execution would put all values into one task by their size.
+    distinct = distinct.repartition(int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     entries = canonical_titles(titles.select(F.col(key).cast("string").alias("k"), F.col(title).alias("t")), "k", "t")
     names = aliases.where(F.col(alias_of).isNotNull() & F.col(alias).isNotNull()).select(F.array_join(_words_udf(F.col(alias_of).cast("string")), "").alias("word"), _words_udf(F.col(alias).cast("string")).alias("name"))
     names = names.where("word <> '' AND size(name) > 0").distinct()
