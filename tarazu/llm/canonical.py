@@ -119,6 +119,7 @@ class Titles:
             vector = self._vector(s)
             for g, v in vector.items():
                 self.postings[g].append((k, v))
+        self.measured = [(s, w, frozenset(s), slips(s)) for s, w in self.surfaces]
         self._cache: dict[str, list[tuple[str, float]]] = {}
 
     def _vector(self, word: str) -> dict[str, float]:
@@ -136,10 +137,15 @@ class Titles:
             for g, v in self._vector(span).items():
                 for k, w in self.postings.get(g, ()):
                     score[k] += v * w
-            top, best = max(score.values(), default=0.0), {}
+            least, best, letters = max(THRESHOLD, max(score.values(), default=0.0) - WITHIN), {}, frozenset(span)
             for k, s in score.items():
-                surface, word = self.surfaces[k]
-                if s >= max(THRESHOLD, top - WITHIN) and (n := edits(span, surface, slips(surface))) <= slips(surface):
+                if s < least:
+                    continue
+                surface, word, own, most = self.measured[k]
+                # Each slip changes the length, the letters missing and the letters too many by one at most.
+                if abs(len(surface) - len(span)) > most or len(own - letters) > most or len(letters - own) > most:
+                    continue
+                if (n := edits(span, surface, most)) <= most:
                     best[word] = max(best.get(word, 0.0), round(s * 0.1 + 0.9 * (1 - n / (len(surface) + 1)), 9))
             found = list(best.items())
             if len(self._cache) >= 1 << 18:  # the cache saves time only
