@@ -111,33 +111,32 @@ def _token_form(token: str) -> str:
     return _composed(_spelled(token))
 
 
-def _prepare() -> tuple[dict[int, str], str]:
-    """What every character is replaced by before tokens are looked at, by rule, and a pattern of all that takes part."""
-    table: dict[int, str] = {}
-    same = {**SAME_SCRIPT, **SAME_SIGN}
-    for code in range(sys.maxunicode + 1):
-        if 0xD800 <= code < 0xE000:
-            continue
-        c = chr(code)
-        kind = unicodedata.category(c)
-        if c == ZWNJ or c.isspace():
-            new = " "
-        elif kind == "Cf" or 0xFE00 <= code <= 0xFE0F or 0xE0100 <= code <= 0xE01EF or code in (0x34F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x180B, 0x180C, 0x180D, 0x180F, 0x2065, 0x3164, 0xFFA0):
-            new = ""
-        elif kind == "Nd":
-            new = str(unicodedata.digit(c))
-        else:
-            new = unicodedata.normalize("NFKD", c)
-            new = "".join(same.get(x, x) for x in new)
-            new = "".join(str(unicodedata.digit(x)) if unicodedata.category(x) == "Nd" else x for x in new)
-        if new != c:
-            table[code] = new
-    return table
+@functools.cache
+def _same() -> dict[str, str]:
+    return {**SAME_SCRIPT, **SAME_SIGN}
+
+
+def _shown(c: str) -> str:
+    """What a character is replaced by before tokens are looked at, decomposed; '' if it is invisible, a blank if it shows as one."""
+    code, kind, same = ord(c), unicodedata.category(c), _same()
+    if c == ZWNJ or c.isspace():
+        return " "
+    if kind == "Cf" or 0xFE00 <= code <= 0xFE0F or 0xE0100 <= code <= 0xE01EF or code in (0x34F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x180B, 0x180C, 0x180D, 0x180F, 0x2065, 0x3164, 0xFFA0):
+        return ""
+    plain = [same.get(x, x) for x in unicodedata.normalize("NFKD", c)]
+    return "".join(str(unicodedata.digit(x)) if unicodedata.category(x) == "Nd" else x for x in plain)
+
+
+def flat_form(c: str) -> str:
+    """The form of a single character, in Latin where a script spells the sign like Latin."""
+    return _composed("".join(_SIGN.get(x, x) for x in _shown(c)))
 
 
 @functools.cache
 def _table() -> dict[int, str]:
-    return _prepare()
+    """What every character is replaced by, by rule."""
+    every = (chr(code) for code in range(sys.maxunicode + 1) if not 0xD800 <= code < 0xE000)
+    return {ord(c): new for c in every if (new := _shown(c)) != c}
 
 
 #: Texts of these characters alone are in their form already, apart from blanks.

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarazu.llm.canonical import map_values
-from tarazu.llm.leakage import SLOP, find_leaks
-from tarazu.llm.lookalike import look_same_form, script_findings
+from tarazu.llm.leakage import PASSAGE, SLOP, find_leaks
+from tarazu.llm.lookalike import flat_form, look_same_form, script_findings
 from tarazu.llm.mixing import Mixture, mix
 from tarazu.llm.splitting import split_documents
 from tarazu.operators.skew import salted, salted_join
@@ -78,4 +78,45 @@ def p9_pieces(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {q.__name__: q for q in (p3_found, p3_forms, p6_found, p6_unmatched_values, p7_found, p7_proximity, p8_mixture, p8_shares, p9_pieces)}
-SQL: dict[str, str] = {}
+
+
+# --- The same in SQL -------------------------------------------------------------------------------------------------
+
+#: Blocks with characters that the SQL replaces: Greek, Cyrillic, digits, blanks, presentation forms, widths.  Characters outside them show
+#: themselves in the test tables.
+_BLOCKS = [(0x80, 0xA0), (0xAD, 0xAD), (0x370, 0x4FF), (0x61C, 0x61C), (0x640, 0x6FF), (0x2000, 0x206F), (0x3000, 0x3000), (0xFB50, 0xFEFF), (0xFF01, 0xFFEF)]
+
+
+def form_sql(c: str) -> str:
+    """The one form of a text in DuckDB's SQL, for texts whose tokens a single script can spell: each character replaced by the sign it
+    shows, then composed."""
+    source, target, deleted = [], [], []
+    for lo, hi in _BLOCKS:
+        for code in range(lo, hi + 1):
+            ch = chr(code)
+            new = flat_form(ch)
+            if new == "":
+                deleted.append(ch)
+            elif len(new) == 1 and new != ch:
+                source.append(ch)
+                target.append(new)
+    marked, quoted = "یٔ", lambda cs: "".join(cs).replace("'", "''")
+    return f"trim(regexp_replace(replace(nfc_normalize(translate({c}, '{quoted(source + deleted)}', '{quoted(target)}')), '{marked}', 'ئ'), '[ \\t\\n\\x0B\\f\\r\\x{{1C}}-\\x{{1F}}]+', ' ', 'g'))"
+
+
+_BOTH = "(SELECT ID, row_n, DescriptionOfID FROM fake_catalog UNION ALL SELECT ID, row_n, DescriptionOfID FROM fake_catalog_general)"
+_P3 = f"""SELECT DISTINCT line_id, row_n FROM (SELECT line_id, sstid, sstt, {form_sql("sstt")} AS f FROM demo_invoices WHERE regexp_full_match(sstid, '[0-9]{{13}}') AND sstt <> '') l
+JOIN (SELECT ID, row_n, DescriptionOfID, {form_sql("DescriptionOfID")} AS f FROM {_BOTH}) c ON l.sstid = c.ID AND l.f = c.f AND sstt <> DescriptionOfID"""
+
+
+def _words_sql(c: str) -> str:
+    return f"regexp_extract_all(lower({form_sql(c)}), '[\\p{{L}}\\p{{N}}]+')"
+
+
+_P7 = f"""WITH i AS (SELECT item_id, w, least({PASSAGE}, len(w)) AS n FROM (SELECT item_id, {_words_sql("query_text")} AS w FROM eval_golden) WHERE len(w) > 0),
+iw AS (SELECT DISTINCT item_id, n, array_to_string(w[k:k + n - 1], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS k FROM i)),
+d AS (SELECT doc_id, {_words_sql("text")} AS w FROM documents WHERE text <> ''), s AS (SELECT DISTINCT n FROM i),
+dw AS (SELECT doc_id, n, array_to_string(w[k:k + n - 1], ' ') AS g FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, s WHERE len(w) >= n))
+SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (n, g)"""
+
+SQL = {"p3_found": _P3, "p7_found": _P7}
