@@ -108,3 +108,8 @@ def distinct_at(counts: DataFrame, value: str, place: int) -> DataFrame:
             return inside.select(value, run.alias("upto")).where(F.col("upto") > place - before).orderBy(value).limit(1).select(value)
         before += n
     raise ValueError("no such place")
+
+
+def summary_by(rows: DataFrame, label: str, value: str) -> DataFrame:
+    """``(label, n, mean, least, greatest)`` of a number; a label without values has n = 0 and nulls."""
+    return rows.groupBy(label).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.min(value).alias("least"), F.max(value).alias("greatest"))

@@ -214,3 +214,36 @@ def tie_groups(ranked: DataFrame) -> DataFrame:
     """``(query, score, first_rank, n_tied)`` of places that share a score."""
     at = F.round("score", DIGITS)
     return ranked.where("kind = 'top'").groupBy("query", at.alias("score")).agg(F.min("rank").alias("first_rank"), F.count(F.lit(1)).alias("n_tied")).where("n_tied > 1")
+
+
+def random_ids(docs: DataFrame, queries: DataFrame, k: int, seed: int = 1, query_block: int = QUERY_BLOCK) -> DataFrame:
+    """``(query, rank, sstid)``: ``k`` distinct IDs of the index for each query, drawn at random by a hash of seed, query and ID: the chance
+    level that a search is held against.  The same for any partitioning."""
+    ids = docs.select("sstid").where("sstid IS NOT NULL").distinct().select("sstid", F.xxhash64(F.lit(seed), "sstid").alias("h"))
+    asked = queries.select("query").where("query IS NOT NULL").distinct()
+    blocks = max(1, -(-asked.count() // query_block))
+    found = None
+    for n in range(blocks):
+        part = asked.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == n) if blocks > 1 else asked
+        held = sorted((r.query, r.h) for r in part.select("query", F.xxhash64("query").alias("h")).collect())
+        got = _draw(ids, held, k)
+        found = got if found is None else found.unionByName(got)
+    ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy("draw", "sstid")))
+    return ranked.where(F.col("rank") <= k).select("query", "rank", "sstid")
+
+
+def _draw(ids: DataFrame, held: list[tuple[str, int]], k: int) -> DataFrame:
+    shipped = ids.sparkSession.sparkContext.broadcast(held)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        queries = shipped.value
+        for batch in batches:
+            own = batch["h"].to_numpy().astype(np.uint64)
+            for name, h in queries:
+                x = own ^ np.uint64(h & (1 << 64) - 1)
+                for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):  # the finalizer of splitmix64
+                    x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+                best = np.argsort(x, kind="stable")[:k]
+                yield pd.DataFrame({"query": name, "sstid": batch["sstid"].to_numpy()[best], "draw": (x[best] >> np.uint64(1)).astype(np.int64)})
+
+    return ids.mapInPandas(run, "query string, sstid string, draw long")

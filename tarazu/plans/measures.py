@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from tarazu.operators import catalog as cat
 from tarazu.operators import evaluation as ev
+from tarazu.operators import retrieval as bm
 from tarazu.plans.quality import AS_OF, _IN_FORCE, _rate_sql, _rates, classified, classified_sql
-from tarazu.plans.ranking import GOLDEN_RANKED, K, golden_queries, golden_ranking, snapshot_docs
-from tarazu.plans.registry import query
+from tarazu.plans.ranking import GOLDEN_RANKED, K, bm25_features, golden_queries, golden_ranking, snapshot_docs
+from tarazu.plans.registry import SQL, query
 from tarazu.plans.texts import tokens_sql
 from tarazu.sources.tables import table
 
@@ -172,3 +173,17 @@ def median_cells(spark: SparkSession, folder: str) -> DataFrame:
     by = rows.groupBy("Type", F.size(tx.tokenize(F.col("DescriptionOfID"))).alias("n")).agg(F.count(F.lit(1)).alias("rows"))
     m = by.groupBy("Type").agg(F.expr("percentile(n, 0.5, rows)").alias("median"))
     return by.join(m, "Type").groupBy("Type", "median").agg(F.coalesce(F.sum(F.when(F.col("n") < F.col("median"), F.col("rows"))), F.lit(0)).alias("n_short"), F.coalesce(F.sum(F.when(F.col("n") >= F.col("median"), F.col("rows"))), F.lit(0)).alias("n_long"))
+
+
+@query(f"SELECT coalesce(nullif(labels, ''), 'clean') AS label, count(*) AS n, round(avg(sim_declared), 3) AS mean, min(sim_declared) AS least, max(sim_declared) AS greatest FROM (SELECT DISTINCT line_id, labels FROM demo_invoices) JOIN ({SQL['bm25_features']}) USING (line_id) GROUP BY 1")
+def features_by_label(spark: SparkSession, folder: str) -> DataFrame:
+    """How like the declared ID's title the text is, by the reviewers' tags."""
+    tags = table(spark, folder, "demo_invoices").select("line_id", F.coalesce(F.expr("nullif(labels, '')"), F.lit("clean")).alias("label")).distinct()
+    s = ev.summary_by(tags.join(bm25_features(spark, folder), "line_id"), "label", "sim_declared")
+    return s.withColumn("mean", F.round("mean", 3))
+
+
+@query()
+def random_search(spark: SparkSession, folder: str) -> DataFrame:
+    """Twenty IDs drawn at random for every evaluation query."""
+    return bm.random_ids(snapshot_docs(spark, folder), golden_queries(spark, folder), K)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tarazu.functions import jalali
 from tarazu.operators import catalog as cat
+from tarazu.operators.dated import cite
 from tarazu.operators.evaluation import split_ids
 from tarazu.operators.intervals import periods_and_gaps
 from tarazu.operators.rates import parse_line, rate_at
@@ -243,3 +244,21 @@ def ok_days(spark: SparkSession, folder: str) -> DataFrame:
     covered = F.greatest(F.least(F.coalesce("d_to", hi), hi) - F.greatest("d_from", lo) + 1, F.lit(0))
     by = p.groupBy(F.col("ID").alias("sstid")).agg(F.sum(covered).cast("int").alias("ok_days"))
     return by.withColumn("gap_days", (hi - lo + 1 - F.col("ok_days")).cast("int"))
+
+
+#: Invented documents that apply to two of the reviewers' tags.
+UNITS = [("u1", "1401-01-01", "1402-06-31", ["T6"], "placeholder"), ("u2", "1402-01-01", None, ["T6", "T2"], "reviewed"), ("u3", "1403-01-01", None, ["T6"], "reviewed"), ("u0", "1404-01-01", "1404-12-29", ["T6"], "placeholder")]
+_UNITS_SQL = ", ".join(f"('{i}', '{a}', {'NULL' if b is None else repr(b)}, {c}, '{st}')" for i, a, b, c, st in UNITS)
+
+
+@query(
+    f"""WITH u(id, f, t, codes, status) AS (VALUES {_UNITS_SQL}), x AS (SELECT id, f, t, unnest(codes) AS code, status FROM u),
+l AS (SELECT DISTINCT line_id, issue_date, unnest(string_split(labels, ';')) AS code FROM demo_invoices),
+j AS (SELECT l.*, x.id, x.status, row_number() OVER (PARTITION BY line_id, l.code, issue_date ORDER BY status <> 'reviewed', id) AS r FROM l LEFT JOIN x ON l.code = x.code AND f <= issue_date AND (t IS NULL OR issue_date <= t) WHERE l.code <> '')
+SELECT line_id, issue_date, code, id AS unit_id, CASE WHEN id IS NOT NULL THEN status <> 'reviewed' END AS is_placeholder FROM j WHERE r = 1"""
+)
+def citation_lookup(spark: SparkSession, folder: str) -> DataFrame:
+    """The document to cite for each tag of a line on its day."""
+    tags = table(spark, folder, "demo_invoices").select("line_id", "issue_date", F.explode(F.split("labels", ";")).alias("code")).where("code <> ''").distinct()
+    units = spark.createDataFrame(UNITS, "id string, valid_from string, valid_to string, applies_to array<string>, status string")
+    return cite(tags, "code", "issue_date", units)

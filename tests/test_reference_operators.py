@@ -151,6 +151,37 @@ def test_dated_ranking(spark):
     assert got == [("1", 1, 1), ("2", 1, 2), ("2", 2, 3)]
 
 
+def test_random_ids(spark):
+    docs = spark.createDataFrame([(f"id{i:03d}",) for i in range(300)] * 2, "sstid string")
+    q = spark.createDataFrame([(str(i),) for i in range(200)], "query string")
+    got = [tuple(r) for r in bm.random_ids(docs.repartition(4), q, 5).collect()]
+    assert sorted(got) == sorted(tuple(r) for r in bm.random_ids(docs.repartition(2), q, 5, query_block=60).collect())
+    by = {}
+    for name, _, i in got:
+        by.setdefault(name, set()).add(i)
+    assert len(got) == 1000 and all(len(v) == 5 for v in by.values())
+    drawn = [sum(i in v for v in by.values()) for i in {r[0] for r in docs.collect()}]
+    assert max(drawn) < 15 and sum(d > 0 for d in drawn) > 260  # 3.3 expected of each
+    assert bm.random_ids(docs.limit(0), q, 5).count() == 0
+
+
+def test_documents_to_cite(spark, tmp_path):
+    import json
+
+    from tarazu.operators import dated
+
+    unit = {"id": "a", "kind": "k", "title": "t", "body": "b", "valid_from": "1403-01-01", "valid_to": None, "source_url": "x", "applies_to": ["T2"], "status": "reviewed"}
+    bad = [{**unit, "id": "b", "valid_to": "1402-01-01"}, {**unit, "id": "c", "status": "new"}, {**unit, "id": "d", "source_url": ""}, {**unit, "id": "e", "applies_to": ["T9"]}, {**unit, "id": "f", "valid_from": "1403-13-01"}, {**unit, "id": "g"}, {**unit, "id": "g"}, {**unit, "id": ""}]
+    (tmp_path / "u.json").write_text(json.dumps({"schema_version": 1, "units": [unit, *bad]}))
+    u = dated.read_units(spark, str(tmp_path / "u.json"))
+    got = sorted(set((r.id, r.fault) for r in dated.unit_faults(u, ["T2", "T6"]).collect()))
+    assert got == [("", "no_id"), ("b", "ends_before_start"), ("c", "bad_status"), ("d", "no_source"), ("e", "unknown_code"), ("f", "bad_day"), ("g", "duplicate_id")]
+    units = spark.createDataFrame([("p", "1403-01-01", None, ["T2"], "placeholder"), ("z", "1403-05-01", "1403-06-31", ["T2", "T6"], "reviewed"), ("y", "1403-06-01", None, ["T6"], "reviewed")], "id string, valid_from string, valid_to string, applies_to array<string>, status string")
+    f = spark.createDataFrame([(1, "T2", "1403-04-31"), (2, "T2", "1403-06-31"), (3, "T6", "1403-06-31"), (4, "T6", "1403-04-01"), (5, None, "1403-04-01"), (6, "T2", None), (2, "T2", "1403-06-31")], "n int, code string, day string")
+    assert sorted((r.n, r.unit_id, r.is_placeholder) for r in dated.cite(f, "code", "day", units).collect()) == [(1, "p", True), (2, "z", False), (2, "z", False), (3, "y", False), (4, None, None), (5, None, None), (6, None, None)]
+    assert dated.cite(f.limit(0), "code", "day", units).count() == 0
+
+
 def test_metrics(spark):
     df = spark.createDataFrame([(["a", "a", "b"], ["b"]), (["a"], ["c", "x"]), ([], ["a"]), (None, ["a"])], "r array<string>, w array<string>")
     ranks = df.select(ev.rank_of_any(F.col("r"), F.col("w")).alias("rank"))
