@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tarazu.llm.lookalike import look
+from tarazu.session import stage_table
 
 #: Cosine from which a span can be a word; how far below its span's best a candidate may lie; score from which a token is no words
 #: typed together.
@@ -276,7 +277,8 @@ def map_values(values: DataFrame, value: str, titles: DataFrame, key: str, title
     distinct = values.select(F.col(value).cast("string").alias("value")).where("value IS NOT NULL AND value <> ''").distinct()
     # Few bytes, much work: adaptive execution would put all values into one task by their size.
     distinct = distinct.repartition(int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    entries = canonical_titles(titles.select(F.col(key).cast("string").alias("k"), F.col(title).alias("t")), "k", "t")
+    # Read several times below, and made by a Python function: written once.
+    entries = stage_table(canonical_titles(titles.select(F.col(key).cast("string").alias("k"), F.col(title).alias("t")), "k", "t"), "entries")
     names = aliases.where(F.col(alias_of).isNotNull() & F.col(alias).isNotNull()).select(F.array_join(_words_udf(F.col(alias_of).cast("string")), "").alias("word"), _words_udf(F.col(alias).cast("string")).alias("name"))
     names = names.where("word <> '' AND size(name) > 0").distinct()
     found = None
