@@ -22,6 +22,8 @@ from tarazu.session import stage_table
 MAX_SOURCES = 100_000
 #: Points of the grid that rates are tuned over, and passes.
 GRID, ROUNDS = 32, 2
+#: Numbers in the distribution functions of all sources at most: what is broadcast to the documents.
+MOST_NUMBERS = 4_000_000
 
 
 @dataclass(frozen=True)
@@ -77,10 +79,14 @@ def _tuned(sizes: DataFrame, rate_of: dict[str, float], cap_of: dict[str, int],
         if not grid:
             break
         curves = [(s, j, replication(min(r, cap_of[s] * 0.999), cap_of[s])) for s, rs in grid.items() for j, r in enumerate(rs)]
-        table = sizes.sparkSession.createDataFrame(curves, "source string, j int, cdf array<double>")
-        by_source = table.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("j", "cdf"))).alias("curves"))  # GRID + 1 for a source
+        if sum(len(c[-1]) for c in curves) > MOST_NUMBERS:
+            break  # the rates stay as expected
+        by_source: dict[str, list] = {}
+        for s, j, cdf in curves:
+            by_source.setdefault(s, []).append((j, cdf))
+        table = sizes.sparkSession.createDataFrame(list(by_source.items()), "source string, curves array<struct<j:int,cdf:array<double>>>")
         u = _uniform(seed, F.col("doc_id"))
-        each = sizes.join(by_source, "source").select("source", "n_tokens", F.posexplode(F.transform("curves", lambda x: F.size(F.filter(x["cdf"], lambda c: u >= c)))).alias("j", "n"))
+        each = sizes.join(F.broadcast(table), "source").select("source", "n_tokens", F.posexplode(F.transform("curves", lambda x: F.size(F.filter(x["cdf"], lambda c: u >= c)))).alias("j", "n"))
         for_source: dict[str, list[float]] = {s: [0.0] * (GRID + 1) for s in grid}
         for r in each.groupBy("source", "j").agg(F.sum(F.col("n_tokens") * F.col("n")).alias("t")).toLocalIterator():
             for_source[r.source][r.j] = r.t
@@ -120,11 +126,13 @@ def mix(docs: DataFrame, doc_id: str, source: str, text: str, targets: DataFrame
     for s, (share, cap) in want.items():
         rate = rate_of.get(s, 0.0)
         plan.append((s, share, cap, share / parts if s in live else 0.0, rate, replication(rate, cap)))
+    if sum(len(p[-1]) for p in plan) > MOST_NUMBERS:
+        raise ValueError("the caps of all sources together are too large")
     rates = spark.createDataFrame(plan, "source string, target_share double, max_repeats int, reachable_share double, rate double, cdf array<double>")
 
     def copies(df: DataFrame, by: Column) -> DataFrame:
         u = _uniform(seed, by)
-        return df.join(rates.select("source", "cdf"), "source").withColumn("copies", F.size(F.filter("cdf", lambda c: u >= c))).drop("cdf")
+        return df.join(F.broadcast(rates.select("source", "cdf")), "source").withColumn("copies", F.size(F.filter("cdf", lambda c: u >= c))).drop("cdf")
 
     used = copies(sizes, F.col("doc_id")).groupBy("source").agg(F.sum("copies").alias("mixture_docs"), F.sum(F.col("copies") * F.col("n_tokens")).alias("mixture_tokens"))
     whole = used.agg(F.sum("mixture_tokens").alias("all_tokens"))
