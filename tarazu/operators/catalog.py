@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from tarazu.functions import jalali
 from tarazu.functions.text import fold_label
-from tarazu.operators.skew import salted_join
 from tarazu.sources.tables import CATALOG_COLUMNS
 
 
@@ -135,8 +134,3 @@ def version_gaps(rows: DataFrame) -> DataFrame:
     step = F.lead("s").over(W.partitionBy("ID").orderBy("s")) - F.col("e")
     kind = F.when(F.col("e") == 2_000_000_000, "open").when(step == 1, "next_day").when(step > 1, "gap").otherwise("overlap")
     return days.withColumn("step", step).withColumn("kind", kind).where("step IS NOT NULL").groupBy("kind").agg(F.count(F.lit(1)).alias("n_pairs"))
-
-
-def attach_status(lines: DataFrame, status: DataFrame, key: str, spread: list[Column]) -> DataFrame:
-    """Lines with the status columns of their ID; a hot ID is spread over tasks."""
-    return salted_join(lines, status.withColumnRenamed("sstid", key), [key], spread, how="left")

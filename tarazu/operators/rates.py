@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from tarazu.functions import jalali
 from tarazu.operators.asof import as_known_at
-from tarazu.operators.catalog import attach_status
+
+#: A day number before all days of the calendar.
+_BEFORE_ALL = -1_000_000
 
 
 def rate_at(lines: DataFrame, versions: DataFrame, status: DataFrame | None, *, key: str = "line_id", sstid: str = "sstid", day: str = "issue_date") -> DataFrame:
@@ -22,35 +24,30 @@ def rate_at(lines: DataFrame, versions: DataFrame, status: DataFrame | None, *,
     starts = versions.groupBy("sstid", "valid_from").agg(F.sort_array(F.collect_set(held)).alias("held"))
     # The last day on which any of them holds; open if one is.
     last = F.array_max(F.transform("held", lambda h: h["to"]))
-    known = starts.select("sstid", "valid_from", "held", F.when(last != "9999-99-99", jalali.to_days(last) - 1).alias("last"))
+    known = starts.select("sstid", "valid_from", "held", jalali.to_days(F.col("valid_from")).alias("from"), F.when(last != "9999-99-99", jalali.to_days(last) - 1).alias("last"), F.lit(None).cast("string").alias("else"))
+    # Each known ID has one more version, before all others and without an end: it answers where none of them does, and says why.
+    if status is None:
+        status = versions.select("sstid", F.lit(True).alias("is_active")).distinct()
+    why = F.when(F.col("is_active"), "NOT_IN_FORCE").otherwise("QUARANTINED_ONLY")
+    always = status.select("sstid", F.lit(None).cast("string").alias("valid_from"), F.lit(None).cast(known.schema["held"].dataType).alias("held"), F.lit(_BEFORE_ALL).alias("from"), F.lit(None).cast("int").alias("last"), why.alias("else"))
     asked = lines.select(key, sstid, day).distinct()
     found = as_known_at(
         asked,
-        known,
+        known.unionByName(always),
         entity=sstid,
         at=jalali.to_days(F.col(day)),
         version_entity="sstid",
-        valid_from=jalali.to_days(F.col("valid_from")),
+        valid_from=F.col("from"),
         valid_to=F.col("last"),
         prefer=[],
         carry={key: F.col(key), sstid: F.col(sstid), day: F.col(day)},
-        attributes={"valid_from": F.col("valid_from"), "held": F.col("held")},
+        attributes={"valid_from": F.col("valid_from"), "held": F.col("held"), "else": F.col("else")},
         how="left",
     )
     holding = F.filter("held", lambda h: F.col(day) < h["to"])
     found = found.withColumn("candidates", F.coalesce(holding, F.array().cast(found.schema["held"].dataType))).drop("held")
     n = F.size("candidates")
-    if status is None:
-        status = versions.select("sstid").distinct().withColumns({"is_active": F.lit(True), "is_quarantined": F.lit(False)})
-    found = attach_status(found, status.where("sstid IS NOT NULL").withColumnRenamed("sstid", sstid), sstid, [F.col(key)])
-    code = (
-        F.when(~jalali.is_day(F.col(day)), "INVALID_DATE")
-        .when(n == 1, "OK")
-        .when(n > 1, "AMBIGUOUS")
-        .when(F.coalesce("is_active", F.lit(False)), "NOT_IN_FORCE")
-        .when(F.coalesce("is_quarantined", F.lit(False)), "QUARANTINED_ONLY")
-        .otherwise("NOT_IN_CATALOG")
-    )
+    code = F.when(~jalali.is_day(F.col(day)), "INVALID_DATE").when(n == 1, "OK").when(n > 1, "AMBIGUOUS").otherwise(F.coalesce("else", F.lit("NOT_IN_CATALOG")))
     first = F.try_element_at("candidates", F.lit(1))
     return found.select(key, sstid, day, code.alias("status"), F.when(n == 1, first["rate"]).alias("rate"), F.when(n > 0, F.col("valid_from")).alias("valid_from"), n.alias("n_candidates"), "candidates")
 

@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tarazu.session import stage_table
+
 K1, B = 1.5, 0.75
 #: Queries shipped to the tasks at once, and documents scored at once.
 QUERY_BLOCK, DOC_BLOCK = 5_000, 4_096
@@ -170,6 +172,9 @@ def rank(docs: DataFrame, queries: DataFrame, k: int = 20, tie: str = "row", dat
         df = {r.term: r.df for r in df_table.join(used, "term", "left_semi").toLocalIterator()}
         got = _score_block(shown, held, stats.n_docs, stats.avgdl or 1.0, df, k, tie == "id", dated, declared, counted)
         found = got if found is None else found.unionByName(got)
+    # Read several times below and by those who use the ranking, and made by a scan of all documents: written once.  It has k rows for each
+    # query and task at most.
+    found = stage_table(found, "ranking")
     # Of each ID the best document over all tasks, then the best k IDs.
     top = found.where("kind = 'top'").groupBy("query", "sstid").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("doc"))).alias("b")).select("query", "sstid", (-F.col("b.s")).alias("score"), F.col("b.doc").alias("doc"))
     order = [F.col("score").desc(), F.col("sstid" if tie == "id" else "doc")]
