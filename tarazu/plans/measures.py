@@ -135,10 +135,20 @@ def macro_micro(spark: SparkSession, folder: str) -> DataFrame:
     return m.select("slice", "n_pairs", "n", F.round("macro", 6).alias("macro"), F.round("micro", 6).alias("micro"))
 
 
-@query(f"WITH {_RANKS} SELECT t.tag, coalesce(count(query), 0) AS n, round(avg((coalesce(rank, 99) <= 1)::INT), 6) AS recall_1, round(avg((coalesce(rank, 99) <= 5)::INT), 6) AS recall_5, CASE WHEN count(query) = 0 THEN 'not_covered' ELSE 'covered' END AS status FROM (SELECT unnest(['silver', 'silver-v2', 'silver-v2b', 'hand checked', 'second look']) AS tag) t LEFT JOIN ranks ON split_part(notes, '|', 1) = tag GROUP BY t.tag".replace("avg((coalesce(rank, 99) <= 1)::INT)", "avg(CASE WHEN query IS NOT NULL THEN (coalesce(rank, 99) <= 1)::INT END)").replace("avg((coalesce(rank, 99) <= 5)::INT)", "avg(CASE WHEN query IS NOT NULL THEN (coalesce(rank, 99) <= 5)::INT END)"))
+_TAGS = ["silver", "silver-v2", "silver-v2b", "hand checked", "second look"]
+
+
+def _share_sql(k: int) -> str:
+    return f"round(avg(CASE WHEN query IS NOT NULL THEN (coalesce(rank, 99) <= {k})::INT END), 6)"
+
+
+@query(
+    f"""WITH {_RANKS} SELECT t.tag, count(query) AS n, {_share_sql(1)} AS recall_1, {_share_sql(5)} AS recall_5, CASE WHEN count(query) = 0 THEN 'not_covered' ELSE 'covered' END AS status
+FROM (SELECT unnest({_TAGS}) AS tag) t LEFT JOIN ranks ON split_part(notes, '|', 1) = tag GROUP BY t.tag"""
+)
 def per_pair_report(spark: SparkSession, folder: str) -> DataFrame:
     """Every listed tag, also those without a query."""
-    tags = spark.createDataFrame([(t,) for t in ("silver", "silver-v2", "silver-v2b", "hand checked", "second look")], "tag string")
+    tags = spark.createDataFrame([(t,) for t in _TAGS], "tag string")
     r = golden_ranks(spark, folder).select(F.substring_index("notes", "|", 1).alias("tag"), "query", "rank")
     by = r.groupBy("tag").agg(F.count(F.lit(1)).alias("n"), ev.recall_at(F.col("rank"), 1).alias("recall_1"), ev.recall_at(F.col("rank"), 5).alias("recall_5"))
     return tags.join(by, "tag", "left").select("tag", F.coalesce("n", F.lit(0)).alias("n"), F.round("recall_1", 6).alias("recall_1"), F.round("recall_5", 6).alias("recall_5"), F.when(F.col("n").isNull(), "not_covered").otherwise("covered").alias("status"))

@@ -169,12 +169,12 @@ _BOTH = "(SELECT * FROM fake_catalog UNION ALL BY NAME SELECT * FROM fake_catalo
 
 
 def _p4_sql(columns: str, kind: str, attributes: str, distinct: str = "") -> str:
-    return f"""WITH v AS ({valid_sql(_BOTH, "ID, RunDate, LastEditDate, row_n, Vat, Taxable, Type")}),
+    return f"""WITH v AS ({valid_sql(_BOTH, "ID, RunDate, ExpirationDate, LastEditDate, row_n, Vat, Taxable, Type")}),
 l AS (SELECT {distinct} {columns}, CASE WHEN regexp_full_match(sstid, '[0-9]{{13}}') AND regexp_full_match(issue_date, '{_DAY}') THEN sstid END AS k FROM demo_invoices),
-n AS (SELECT *, row_number() OVER () AS i FROM l), 
+n AS (SELECT *, row_number() OVER () AS i FROM l),
 j AS (SELECT n.*, v.row_n, v.Vat, v.Taxable, v.Type, row_number() OVER (PARTITION BY n.i ORDER BY v.RunDate DESC, v.LastEditDate DESC, v.row_n) AS r
   FROM n {kind} JOIN v ON n.k = v.ID AND v.RunDate <= n.issue_date AND (v.e = 1000000 OR n.issue_date <= v.ExpirationDate))
-SELECT {attributes} FROM j WHERE r = 1""".replace("row_n, Vat, Taxable, Type,", "row_n, Vat, Taxable, Type, ExpirationDate,")
+SELECT {attributes} FROM j WHERE r = 1"""
 
 
 _P5_TYPED = [("am", f"{AM.pattern}"), ("vra", f"{VRA.pattern}"), ("issue_date", _DAY)]

@@ -85,7 +85,7 @@ def md_escape(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").select("doc_id", tx.md_escape(F.col("text")).alias("escaped"))
 
 
-@query("SELECT DISTINCT fee, regexp_replace(format('{:,}', CAST(fee AS BIGINT)), '\\.?0*$', '') AS x, format('{:,}', CAST(fee AS BIGINT)) AS shown FROM demo_invoices WHERE regexp_full_match(fee, '[0-9]{1,14}')".replace("regexp_replace(format('{:,}', CAST(fee AS BIGINT)), '\\.?0*$', '') AS x, ", ""))
+@query("SELECT DISTINCT fee, format('{:,}', CAST(fee AS BIGINT)) AS shown FROM demo_invoices WHERE regexp_full_match(fee, '[0-9]{1,14}')")
 def fmt_num(spark: SparkSession, folder: str) -> DataFrame:
     fees = table(spark, folder, "demo_invoices").where(F.col("fee").rlike(r"\A[0-9]{1,14}\z")).select("fee").distinct()
     return fees.withColumn("shown", tx.format_number(F.col("fee")))
