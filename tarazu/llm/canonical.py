@@ -1,6 +1,6 @@
 """Freely typed values mapped to the entries of a canonical list.
 
-Method: values are deduplicated and normalised; spans of a value (its words, neighbouring words joined, long words split) look up the
+Method: values are deduplicated and normalised; spans of a value (its words, neighbouring words joined, words split) look up the
 words of the list in an inverted index of character n-grams; the candidates are scored by the cosine of their n-gram vectors,
 weighted by how rare an n-gram is in the list, and accepted above a threshold.  The value means the entry of which it carries at least
 ``MIN_WORDS`` words in disjoint spans, if that entry leads every other by a margin; otherwise it is unmatched.
@@ -120,6 +120,7 @@ class Titles:
             vector = self._vector(s)
             for g, v in vector.items():
                 self.postings[g].append((k, v))
+        self.longest = max((len(s) + slips(s) for s, _ in self.surfaces), default=0)
         self.measured = [(s, w, frozenset(s), slips(s)) for s, w in self.surfaces]
         self._cache: dict[str, list[tuple[str, float]]] = {}
 
@@ -173,12 +174,31 @@ class Titles:
         for i, t in enumerate(tokens):
             if short[i]:
                 out += [(starts[i], starts[i + 1], w, 0.9) for w in self.cut_short.get(t, ())]
-        for i, t in enumerate(tokens):  # words typed together: parts at its ends may hold one slip, those inside none
+        for i, t in enumerate(tokens):  # words typed together with others: parts at its ends may hold one slip, those inside none
             if len(t) >= 6 and best[i] < WHOLE:
                 for a in range(len(t) - 2):
                     for b in range(a + 3, len(t) + (a > 0)):
                         at_end = a == 0 or b == len(t)
                         out += [(starts[i] + a, starts[i] + b, w, s) for w, s in self.part(t[a:b], at_end)]
+            if t not in self.exact:
+                out += [(starts[i] + a, starts[i] + b, w, s) for a, b, w, s in self.split(t)]
+        return out
+
+    def split(self, token: str) -> list[tuple[int, int, str, float]]:
+        """(from, to, word, score) of a token that is words typed together from end to end: each of two or more parts is a word of the list
+        of any length, spelt right or with the slips it may hold."""
+        end, steps, ends = len(token), [], {0}
+        for a in range(end):
+            if a in ends:
+                for b in range(a + 1, min(end, a + self.longest) + 1):
+                    if b - a < end and (words := self.lookup(token[a:b])):
+                        steps.append((a, b, words))
+                        ends.add(b)
+        starts, out = {end}, []
+        for a, b, words in reversed(steps):  # from the end, so that a part is kept only if the rest is words too
+            if b in starts:
+                starts.add(a)
+                out += [(a, b, w, s) for w, s in words]
         return out
 
     def joined(self, span: str, n: int) -> list[tuple[str, float]]:
@@ -189,7 +209,7 @@ class Titles:
         return [(w, s) for w, s in self.lookup(span) if w in named] if named else []
 
     def part(self, span: str, slip: bool) -> list[tuple[str, float]]:
-        """Words that a part of a token stands for: exactly, from 4 letters on, or with one slip from 5 on."""
+        """Words that a part of a token stands for, whatever the rest is: exactly, from 4 letters on, or with one slip if they score above 0.85."""
         if span in self.exact:
             return self.lookup(span) if len(span) >= 4 else []
         return [(w, s) for w, s in self.lookup(span) if s > 0.85 and len(span) >= 5] if slip else []

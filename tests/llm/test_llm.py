@@ -97,6 +97,18 @@ def test_values_get_the_entry_they_mean(spark, block):
     assert canonical.map_values(values.limit(0), "v", titles, "id", "t", names, "word", "name").count() == 0
 
 
+@pytest.mark.parametrize(
+    "value,entry",
+    [("شاژررخاگنی بلند", "1"), ("دیگهوشمند", "2"), ("پمپشفاف", "3"), ("ترکاتورهوشمند", "4"), ("تعداد 12 شاپوزمستانه بسته 6 تایی", "5"), ("پمپخانگیشفاف", "3"), ("پمپشفافیت نو", None), ("قلمدیگ", None), ("پمپ" * 100, None)],
+)
+def test_words_typed_together_may_be_short_or_hold_a_slip(value, entry):
+    titles = [("1", "شارژر خانگی بلند"), ("2", "قابلمه هوشمند تكفاز"), ("3", "پمپ خانگی شفاف"), ("4", "تراکتور هوشمند کوچک"), ("5", "شامپو زمستانه براق"), ("6", "خودکار چوبی کوتاه")]
+    names = [("قابلمه", "دیگ"), ("خودکار", "قلم")]
+    index = canonical.Titles([(i, tuple(canonical.words_of(t))) for i, t in titles], [("".join(canonical.words_of(w)), tuple(canonical.words_of(n))) for w, n in names])
+    found = index.match(value)
+    assert (index.ids[found[0][1]] if found else None) == entry
+
+
 def test_lookup_equals_a_scan_of_the_list():
     rng = random.Random(3)
     letters = "ابپتجد"
