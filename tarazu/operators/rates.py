@@ -52,17 +52,47 @@ def rate_at(lines: DataFrame, versions: DataFrame, status: DataFrame | None, *,
     return found.select(key, sstid, day, code.alias("status"), F.when(n == 1, first["rate"]).alias("rate"), F.when(n > 0, F.col("valid_from")).alias("valid_from"), n.alias("n_candidates"), "candidates")
 
 
+def line_numbers(c: dict[str, Column] | None = None) -> dict[str, Column]:
+    """A line's ``am``, ``fee``, ``vra`` and ``vam`` as exact decimals; null unless plain, not negative and of its type without rounding."""
+    col = lambda k: (c or {}).get(k, F.col(k))
+    number = r"\A[0-9]{1,14}(?:\.[0-9]{1,%d})?\z"
+    whole = {"am": ("decimal(20,6)", 6), "fee": ("decimal(20,6)", 6), "vra": ("decimal(9,4)", 4), "vam": ("decimal(20,6)", 6)}
+    good = {k: F.coalesce(col(k).rlike(number % n), F.lit(False)) & (F.length(F.regexp_extract(col(k), r"\A[0-9]*", 0)) <= (5 if k == "vra" else 14)) for k, (_, n) in whole.items()}
+    return {k: F.when(good[k], col(k).try_cast(t)) for k, (t, _) in whole.items()}
+
+
 def parse_line(c: dict[str, Column] | None = None) -> Column:
     """A struct with a line's numbers as exact decimals, its ID trimmed, and the first thing that is wrong with it (null if nothing).
 
     A number must be plain, not negative and fit its type without rounding.
     """
     col = lambda k: (c or {}).get(k, F.col(k))
-    number = r"\A[0-9]{1,14}(?:\.[0-9]{1,%d})?\z"
-    whole = {"am": ("decimal(20,6)", 6), "fee": ("decimal(20,6)", 6), "vra": ("decimal(9,4)", 4), "vam": ("decimal(20,6)", 6)}
-    good = {k: F.coalesce(col(k).rlike(number % n), F.lit(False)) & (F.length(F.regexp_extract(col(k), r"\A[0-9]*", 0)) <= (5 if k == "vra" else 14)) for k, (_, n) in whole.items()}
-    value = {k: F.when(good[k], col(k).try_cast(t)) for k, (t, _) in whole.items()}
+    value = line_numbers(c)
     error = F.when(~jalali.is_day(col("issue_date")), "issue_date").when(F.coalesce(F.trim(col("sstid")), F.lit("")) == "", "sstid")
-    for k in whole:
-        error = error.when(~good[k], k)
-    return F.struct(F.trim(col("sstid")).alias("sstid"), *(value[k].alias(k) for k in whole), (value["am"] * value["fee"]).alias("base"), error.alias("error"))
+    for k in value:
+        error = error.when(value[k].isNull(), k)
+    return F.struct(F.trim(col("sstid")).alias("sstid"), *(value[k].alias(k) for k in value), (value["am"] * value["fee"]).alias("base"), error.alias("error"))
+
+
+def percent_of(am: Column, fee: Column, vra: Column) -> Column:
+    """A struct ``(half_up, down, up)``: ``am * fee * vra / 100`` of numbers as :func:`line_numbers` gives them, exact, rounded three ways to a
+    whole number (``decimal(32,0)``); nulls if one of them is null.
+
+    The product may have 31 digits before the point and 18 after it, more than a decimal holds: it is made of two parts, and only its whole
+    part and what decides the rounding are kept.
+    """
+    whole = lambda c, n: c.cast(f"decimal({n},0)")
+    units = lambda c, scale, n: whole(c * F.lit(10**scale), n)
+
+    def cut(c: Column, digits: int) -> tuple[Column, Column]:
+        """What is before and in the last ``digits`` digits."""
+        low = c % F.lit(10**digits).cast(f"decimal({digits + 1},0)")
+        return whole((c - low) / F.lit(10**digits).cast(f"decimal({digits + 1},0)"), 32), low
+
+    high, low = cut(whole(units(am, 6, 20) * units(vra, 4, 9), 29), 15)
+    fees = units(fee, 6, 20)
+    carried, rest = cut(whole(whole(low, 15) * fees, 35), 15)
+    down, last = cut(whole(whole(whole(high, 14) * fees, 35) + carried, 35), 3)
+    more = (last > 0) | (rest > 0)
+    add = lambda c: whole(down + c.cast("int"), 32)
+    return F.struct(add(last >= 500).alias("half_up"), down.alias("down"), add(more).alias("up"))

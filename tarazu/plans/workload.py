@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tarazu.functions import text as tx
 from tarazu.operators import catalog as cat
 from tarazu.operators import workload as wl
+from tarazu.operators.rates import line_numbers, percent_of
 from tarazu.plans.quality import AS_OF, _IN_FORCE, classified, classified_sql
 from tarazu.plans.registry import query
 from tarazu.plans.texts import tokens_sql
@@ -296,10 +297,12 @@ _EXACT = "CAST(CAST(am AS DECIMAL(20,6)) AS DECIMAL(14,2)) * CAST(fee AS DECIMAL
 
 @query(f"WITH v AS (SELECT DISTINCT line_id, CAST(CAST({_EXACT} AS DECIMAL(34,4)) * 10000 AS HUGEINT) AS x FROM demo_invoices WHERE regexp_full_match(am, '[0-9]{{1,6}}(\\.[0-9]{{1,2}})?') AND regexp_full_match(fee, '[0-9]{{1,12}}') AND regexp_full_match(vra, '[0-9]{{1,4}}(\\.[0-9]{{1,2}})?')) SELECT line_id, CAST((x + 500000) // 1000000 AS DOUBLE) AS half_up, CAST(x // 1000000 AS DOUBLE) AS down, CAST((x + 999999) // 1000000 AS DOUBLE) AS up FROM v")
 def rounding_modes(spark: SparkSession, folder: str) -> DataFrame:
-    """A product of exact decimals divided by 100, rounded half up, down and up to a whole number."""
-    lines = table(spark, folder, "demo_invoices").where(F.col("am").rlike(r"\A[0-9]{1,6}(\.[0-9]{1,2})?\z") & F.col("fee").rlike(r"\A[0-9]{1,12}\z") & F.col("vra").rlike(r"\A[0-9]{1,4}(\.[0-9]{1,2})?\z"))
-    x = F.col("am").cast("decimal(14,2)") * F.col("fee").cast("decimal(14,0)") * F.col("vra").cast("decimal(8,2)") * F.lit("0.01").cast("decimal(3,2)")
-    return lines.select("line_id", F.round(x, 0).cast("double").alias("half_up"), F.floor(x).cast("double").alias("down"), F.ceil(x).cast("double").alias("up")).distinct()
+    """A product of exact decimals divided by 100, rounded half up, down and up to a whole number, of all lines with a usable ``am``, ``fee``
+    and ``vra``; those that have none are in ``line_parse``.  The SQL takes only numbers whose product fits its types, so it has fewer lines."""
+    n = line_numbers()
+    lines = table(spark, folder, "demo_invoices").select("line_id", *(n[c].alias(c) for c in ("am", "fee", "vra"))).where("am IS NOT NULL AND fee IS NOT NULL AND vra IS NOT NULL")
+    r = lines.select("line_id", percent_of(F.col("am"), F.col("fee"), F.col("vra")).alias("r"))
+    return r.select("line_id", *(F.col(f"r.{c}").cast("double").alias(c) for c in ("half_up", "down", "up"))).distinct()
 
 
 @query(f"WITH {_LADDER}, {_TITLES}, g AS (SELECT term_n, level, array_to_string(q, ' ') AS query, any_value(q) AS q, min(row_n) AS row_n FROM ld WHERE row_n % 50 = 0 GROUP BY ALL) SELECT CAST(term_n AS INTEGER) AS term_n, level, query, row_n, (SELECT count(DISTINCT ID) FROM tt WHERE len(g.q) > 0 AND list_has_all(t, g.q)) AS n_seller, (SELECT count(DISTINCT ID) FROM tt, terms WHERE terms.term_n = g.term_n AND list_has_all(t, list_concat(terms.term, g.q[len(terms.seller) + 1:]))) AS n_catalog FROM g")

@@ -2,6 +2,7 @@
 
 import math
 import random
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -322,3 +323,27 @@ def test_encoding_and_chunks(spark, tmp_path):
     assert again.fill(df, chunk, 3, lambda p: p) == 2 and again.read().count() == 7
     with pytest.raises(ValueError):
         vec.ChunkedTable(spark, str(tmp_path / "v"), "key-2")
+
+
+@pytest.mark.parametrize("loss", ["true", "false"])
+def test_the_rounded_product_holds_all_usable_numbers(spark, tmp_path, loss):
+    from tarazu.plans.workload import rounding_modes
+
+    top, rng = "99999999999999.999999", random.Random(5)
+    number = lambda w, d: str(rng.randrange(10 ** rng.randrange(1, w + 1))) + (f".{rng.randrange(10**n):0{n}d}" if (n := rng.randrange(d + 1)) else "")
+    lines = [("2", "100", "9.000"), ("3", "150", "12.500"), ("1000000", "1", "10.000"), ("1.005", "1000", "10"), (top, top, "99999.9999"), ("0.000001", "0.000001", "0.0001"), ("1", "150.5", "1"), ("0", "0", "0"), ("1", "50", "1"), ("1", "49.999999", "1")]
+    lines += [(number(14, 6), number(14, 6), number(5, 4)) for _ in range(300)]
+    none = [("123456789012345", "1", "1"), ("1", None, "1"), ("1", "1", "x"), ("1.0000001", "1", "1"), ("", "1", "1"), ("-1", "1", "1")]
+    rows = [(f"L{i}", "1404-01-01", "1", *l, "0") for i, l in enumerate(lines + none)]
+    spark.createDataFrame([*rows, rows[0]], "line_id string, issue_date string, sstid string, am string, fee string, vra string, vam string").write.parquet(str(tmp_path / "demo_invoices.parquet"))
+    want = {}
+    for i, l in enumerate(lines):
+        x = Fraction(l[0]) * Fraction(l[1]) * Fraction(l[2]) / 100
+        want[f"L{i}"] = tuple(float(v) for v in (math.floor(x + Fraction(1, 2)), math.floor(x), math.ceil(x)))
+    before = spark.conf.get("spark.sql.decimalOperations.allowPrecisionLoss")
+    spark.conf.set("spark.sql.decimalOperations.allowPrecisionLoss", loss)
+    try:
+        got = rounding_modes(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.decimalOperations.allowPrecisionLoss", before)
+    assert {r.line_id: (r.half_up, r.down, r.up) for r in got} == want and len(got) == len(want)
