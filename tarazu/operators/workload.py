@@ -97,6 +97,14 @@ def has_run(tokens: Column, term: Column) -> Column:
     return F.concat(F.lit(" "), F.array_join(tokens, " "), F.lit(" ")).contains(F.concat(F.lit(" "), F.array_join(term, " "), F.lit(" ")))
 
 
+def replace_run(tokens: Column, term: Column, by: Column) -> Column:
+    """A text of the tokens with the first run equal to ``term`` replaced; ``term`` must be in them."""
+    padded = lambda c: F.concat(F.lit(" "), F.array_join(c, " "), F.lit(" "))
+    whole, found = padded(tokens), padded(term)
+    at = F.instr(whole, found)
+    return F.trim(F.concat(F.substring(whole, F.lit(1), at), F.array_join(by, " "), F.substring(whole, at + F.length(found) - 1, F.length(whole))))
+
+
 def assign_terms(heads: DataFrame, key: str, tokens: str, terms: DataFrame, rule: str) -> DataFrame:
     """``(key, term_n, term)``: the longest listed term each head has under ``rule`` (``prefix`` or ``contains``), of equal ones the first
     listed; heads without one are left out.
@@ -119,11 +127,11 @@ def assign_terms(heads: DataFrame, key: str, tokens: str, terms: DataFrame, rule
     return best.select(key, "b.term_n", "b.term")
 
 
-def subset_matches(rows: DataFrame, ids: str, tokens: str, queries: DataFrame, query: str, wanted: str) -> DataFrame:
-    """``(query, n_ids)``: how many distinct IDs have a title with all of the query's tokens.
+def subset_ids(rows: DataFrame, ids: str, tokens: str, queries: DataFrame, query: str, wanted: str) -> DataFrame:
+    """``(query, __id)``: the distinct IDs that have a title with all of the query's tokens.
 
     Each query probes only the titles that hold its rarest token, by an equi-join, and the rest is a subset test.  Queries without
-    tokens or with a token no title has match nothing and are reported with 0.
+    tokens or with a token no title has match nothing.
     """
     seen = rows.select(F.explode(F.array_distinct(tokens)).alias("__term")).groupBy("__term").agg(F.count(F.lit(1)).alias("__df"))
     asked = queries.select(query, F.array_distinct(wanted).alias("__w"))
@@ -134,7 +142,12 @@ def subset_matches(rows: DataFrame, ids: str, tokens: str, queries: DataFrame, q
     probed = probe.select("__term").distinct()
     sent = held.select("__id", "__t", F.explode("__t").alias("__term")).join(probed, "__term", "left_semi")
     hit = probe.join(sent, "__term").where(F.size(F.array_except("__w", "__t")) == 0)
-    n = hit.select(query, "__id").distinct().groupBy(query).agg(F.count(F.lit(1)).alias("n_ids"))
+    return hit.select(query, "__id").distinct()
+
+
+def subset_matches(rows: DataFrame, ids: str, tokens: str, queries: DataFrame, query: str, wanted: str) -> DataFrame:
+    """``(query, n_ids)``: how many IDs :func:`subset_ids` finds; queries that match nothing are reported with 0."""
+    n = subset_ids(rows, ids, tokens, queries, query, wanted).groupBy(query).agg(F.count(F.lit(1)).alias("n_ids"))
     return queries.select(query).join(n, query, "left").select(query, F.coalesce("n_ids", F.lit(0)).alias("n_ids"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarazu.functions import text as tx
@@ -12,6 +12,7 @@ from tarazu.operators.rates import line_numbers, percent_of
 from tarazu.plans.quality import AS_OF, _IN_FORCE, classified, classified_sql
 from tarazu.plans.registry import query
 from tarazu.plans.texts import tokens_sql
+from tarazu.session import stage_table
 from tarazu.sources.tables import both_catalogs, is_id, table
 
 _BOTH = "(SELECT * FROM fake_catalog UNION ALL BY NAME SELECT * FROM fake_catalog_general)"
@@ -307,15 +308,49 @@ def rounding_modes(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"WITH {_LADDER}, {_TITLES}, g AS (SELECT term_n, level, array_to_string(q, ' ') AS query, any_value(q) AS q, min(row_n) AS row_n FROM ld WHERE row_n % 50 = 0 GROUP BY ALL) SELECT CAST(term_n AS INTEGER) AS term_n, level, query, row_n, (SELECT count(DISTINCT ID) FROM tt WHERE len(g.q) > 0 AND list_has_all(t, g.q)) AS n_seller, (SELECT count(DISTINCT ID) FROM tt, terms WHERE terms.term_n = g.term_n AND list_has_all(t, list_concat(terms.term, g.q[len(terms.seller) + 1:]))) AS n_catalog FROM g")
 def silver_v2(spark: SparkSession, folder: str) -> DataFrame:
-    """Queries in the sellers' words (of titles with row numbers divisible by 50), each with the number of IDs that have all of its words, as
-    the seller and as the catalog writes it."""
-    t = titles(spark, folder)
-    lad = ladder(spark, folder).where("row_n % 50 = 0").select("term_n", "level", F.array_join("query", " ").alias("query"), F.col("query").alias("q"), "row_n")
-    g = lad.groupBy("term_n", "level", "query").agg(F.first("q").alias("q"), F.min("row_n").alias("row_n")).withColumn("key", F.concat_ws("|", "term_n", "level", "query"))
-    back = g.join(terms(spark, folder).select("term_n", "term", "seller"), "term_n").withColumn("cq", F.concat("term", F.slice("q", F.size("seller") + 1, F.size("q"))))
-    n_seller = wl.subset_matches(t, "ID", "tokens", g, "key", "q").withColumnRenamed("n_ids", "n_seller")
-    n_catalog = wl.subset_matches(t, "ID", "tokens", back, "key", "cq").withColumnRenamed("n_ids", "n_catalog")
-    return g.join(n_seller, "key").join(n_catalog, "key").select("term_n", "level", "query", "row_n", "n_seller", "n_catalog")
+    """Queries in the sellers' words, up to ten rows of each pair and its bare term.
+
+    Level ``A0``-``A2``: head, brand and so many attributes of a row drawn by hash among those whose ID has one row in force and whose head holds
+    the pair's term, the term replaced; one attribute is tried before two, and kept if it means one ID.  It may mean the IDs with
+    all of its words as the seller or as the catalog writes it (``n_label``).  Level ``head``: the sellers' term alone, for every pair; the IDs
+    whose head is the pair's or begins with the sellers' term.  ``verdict``: ``emitted``, ``over_max``, ``duplicate``, ``zero_coverage`` (no
+    head holds the term) or ``invalid`` (a term is empty or both are alike); ``tier`` is null for all but the first.  The SQL states an
+    earlier form of this query.
+    """
+    # Read several times below.
+    h, t = stage_table(heads(spark, folder).select("row_n", "ID", "d", "head_tokens", tx.tokenize(F.col("DescriptionOfID")).alias("tokens")), "silver_v2_heads"), terms(spark, folder)
+    fine = (F.size("term") > 0) & (F.size("seller") > 0) & (F.col("term") != F.col("seller"))
+    pairs = t.where(fine).select("term_n", "term", "seller")
+    # Pairs of one term have the same rows.
+    of = wl.assign_terms(h, "row_n", "head_tokens", pairs, "contains").select("row_n", "term")
+    members = h.join(of, "row_n").join(F.broadcast(pairs), "term")
+    single = h.groupBy("ID").agg(F.count(F.lit(1)).alias("n")).where("n = 1")
+    picked = wl.stratified(members.join(single, "ID", "left_semi"), ["term_n"], [F.xxhash64("row_n", "term_n"), F.col("row_n")], PER_PAIR)
+    written = lambda head, n: wl.build_query(F.struct(head.alias("head"), F.col("d.brand").alias("brand"), F.col("d.attrs").alias("attrs")), n)
+    sub = wl.replace_run(F.col("head_tokens"), F.col("term"), F.col("seller"))
+    step = lambda n: F.struct(F.least(F.lit(n), F.size("d.attrs")).alias("n"), written(F.array_join("head_tokens", " "), n).alias("catalog"), written(sub, n).alias("query"))
+    tries = F.when(F.size("d.attrs") > 1, F.array(step(1), step(2))).otherwise(F.array(step(1)))
+    cand = stage_table(picked.select("term_n", "row_n", F.explode(tries).alias("q")).select("term_n", "row_n", "q.*"), "silver_v2")
+    texts = cand.select(F.explode(F.array("catalog", "query")).alias("text")).distinct().withColumn("w", tx.tokenize(F.col("text")))
+    ids = wl.subset_ids(h, "ID", "tokens", texts, "text", "w")
+    sides = cand.select("catalog", "query").distinct().select("catalog", "query", F.explode(F.array(F.struct(F.col("catalog").alias("text"), F.lit(0).alias("seller")), F.struct(F.col("query").alias("text"), F.lit(1).alias("seller")))).alias("s"))
+    met = sides.select("catalog", "query", "s.*").join(ids, "text").groupBy("catalog", "query", "__id").agg(F.min("seller").alias("a"), F.max("seller").alias("b"))
+    counted = met.groupBy("catalog", "query").agg(F.count(F.lit(1)).alias("n_label"), F.sum("b").alias("n_seller"), F.sum(1 - F.col("a")).alias("n_catalog"))
+    order = F.when(F.col("n_label") == 1, F.col("n")).otherwise(10 - F.col("n"))
+    found = cand.join(counted, ["catalog", "query"], "left").fillna(0, ["n_label", "n_seller", "n_catalog"])
+    best = found.groupBy("term_n", "row_n").agg(F.min_by(F.struct("n", "query", "n_seller", "n_catalog", "n_label"), order).alias("b")).select("term_n", "row_n", "b.*")
+    over = F.col("n_label") > MOST
+    place = F.row_number().over(Window.partitionBy("query", over).orderBy("term_n", "row_n"))
+    main = best.select("term_n", F.concat(F.lit("A"), "n").alias("level"), "query", "row_n", "n_seller", "n_catalog", "n_label", F.when(over, "over_max").when(place > 1, "duplicate").otherwise("emitted").alias("verdict"))
+
+    prefixes = F.transform(F.sequence(F.lit(1), F.greatest(F.size("head_tokens"), F.lit(1))), lambda n: F.array_join(F.slice("head_tokens", 1, n), " "))
+    begun = h.select("ID", F.explode(prefixes).alias("span")).join(F.broadcast(pairs.select("term_n", F.array_join("seller", " ").alias("span"))), "span")
+    own = members.select("term_n", "ID", F.lit(1).alias("c"), F.lit(0).alias("s")).unionByName(begun.select("term_n", "ID", F.lit(0).alias("c"), F.lit(1).alias("s")))
+    classes = own.groupBy("term_n", "ID").agg(F.max("c").alias("c"), F.max("s").alias("s")).groupBy("term_n").agg(F.sum("s").alias("n_seller"), F.sum("c").alias("n_catalog"), F.count(F.lit(1)).alias("n_label"))
+    listed = t.select("term_n", fine.alias("fine"), F.array_join("seller", " ").alias("query")).join(classes, "term_n", "left").fillna(0, ["n_seller", "n_catalog", "n_label"])
+    said = F.when(~F.col("fine"), "invalid").when(F.col("n_catalog") == 0, "zero_coverage").otherwise("emitted")
+    bare = listed.select("term_n", F.lit("head").alias("level"), "query", F.lit(None).cast(dict(h.dtypes)["row_n"]).alias("row_n"), "n_seller", "n_catalog", "n_label", said.alias("verdict"))
+    return main.unionByName(bare).withColumn("tier", F.when(F.col("verdict") == "emitted", F.when(F.col("n_label") == 1, "S").otherwise("C")))
 
 
 MOST = 20  # IDs that a query may mean

@@ -347,3 +347,26 @@ def test_the_rounded_product_holds_all_usable_numbers(spark, tmp_path, loss):
     finally:
         spark.conf.set("spark.sql.decimalOperations.allowPrecisionLoss", before)
     assert {r.line_id: (r.half_up, r.down, r.up) for r in got} == want and len(got) == len(want)
+
+
+def test_synonym_queries_of_every_pair(spark, tmp_path):
+    from tarazu.plans.workload import silver_v2
+
+    id_ = lambda n: f"29{n:011d}"
+    rows = [(1, 1, "گوشی آبی، بزرگ، نو"), (2, 2, "گوشی آبی، بزرگ، کهنه"), (3, 3, "موبایل آبی، بزرگ، نو"), (4, 4, "قاب گوشی"), *((n, n, "یخچال بزرگ") for n in range(10, 32))]
+    rows = [row(n, id_(i), "1403-01-01", title=t) for n, i, t in rows] + [row(5, id_(5), "1402-01-01", title="یخچال کوچک"), row(6, id_(5), "1403-01-01", title="یخچال متوسط")]
+    df = spark.createDataFrame([r[:11] for r in rows], CATALOG)
+    df.write.parquet(str(tmp_path / "fake_catalog.parquet"))
+    df.limit(0).write.parquet(str(tmp_path / "fake_catalog_general.parquet"))
+    pairs = [("گوشی", "موبایل"), ("یخچال", "سردکن"), ("نیست", "هیچ"), ("یکی", "یکی")]
+    spark.createDataFrame([(*p, None) for p in pairs], "catalog_term string, seller_term string, note string").write.parquet(str(tmp_path / "head_synonyms.parquet"))
+    number = {p: n for n, p in enumerate(sorted(pairs), 1)}
+    got = silver_v2(spark, str(tmp_path)).collect()
+    main = {r.row_n: (r.term_n, r.level, r.n_catalog, r.n_seller, r.n_label, r.tier, r.verdict) for r in got if r.level != "head"}
+    phone, fridge = number[pairs[0]], number[pairs[1]]
+    assert {n: r for n, r in main.items() if n < 10} == {1: (phone, "A2", 1, 1, 2, "C", "emitted"), 2: (phone, "A2", 1, 0, 1, "S", "emitted"), 4: (phone, "A0", 1, 0, 1, "S", "emitted")}
+    over = [r for n, r in main.items() if n >= 10]
+    assert over == [(fridge, "A0", 22, 0, 22, None, "over_max")] * 10
+    bare = {r.term_n: (r.query, r.n_catalog, r.n_seller, r.n_label, r.tier, r.verdict) for r in got if r.level == "head"}
+    want = [("موبایل", 3, 1, 4, "C", "emitted"), ("سردکن", 23, 0, 23, "C", "emitted"), ("هیچ", 0, 0, 0, None, "zero_coverage"), ("یکی", 0, 0, 0, None, "invalid")]
+    assert bare == {number[p]: w for p, w in zip(pairs, want, strict=True)} and len(got) == 17
