@@ -77,6 +77,20 @@ def build_query(d: Column, n_attributes: int) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.array_join(words, " "), "،", " "), r"(?U)\s+", " "))
 
 
+def detail_queries(title: Column, type_: Column, d: Column) -> Column:
+    """A struct ``(all_attrs, mfr, partno)`` of queries: head, brand and all attributes of a derived title; the same with its maker; with its
+    part number.  The last two are null where a title names none."""
+    flat = F.trim(F.regexp_replace(title, r"(?U)\s+", " "))
+    service = F.coalesce(type_.endswith(SERVICE), F.lit(False))
+    parts = F.transform(F.when(service, F.split(flat, "/")).otherwise(F.split(flat, "،")), lambda s: F.trim(s))
+    named = F.array_join(F.filter(parts, lambda s: _starts(s, MAKER_STARTS)), " ")
+    mfr = F.when(named != "", named).otherwise(F.regexp_extract(flat, r"/\s*(شرکت[^/]*)\z", 1))
+    part = F.array_join(F.filter(parts, lambda s: _starts(s, PART_NUMBER_STARTS)), " ")
+    base = F.array_join(F.concat(F.array(d["head"], d["brand"]), d["attrs"]), " ")
+    more = lambda s: F.when(s != "", F.concat(base, F.lit(" "), s))
+    return F.struct(base.alias("all_attrs"), more(mfr).alias("mfr"), more(part).alias("partno"))
+
+
 def detail_ladder(d: Column, head: Column) -> Column:
     """An array of ``(level, query, required)``: L1 the head (tokens ``head``), L2 with one attribute, L3 with two, L4 with brand and up to
     two; ``required`` are the tokens besides the head.  Levels a title has no parts for are left out."""

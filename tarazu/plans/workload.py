@@ -232,13 +232,25 @@ def token_subset_match(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"WITH {classified_sql(_BOTH)}, {_TITLES}, qs AS (SELECT row_n, ID, {tokens_sql('DescriptionOfID')} AS full_t, {tokens_sql("regexp_replace(DescriptionOfID, '/.*$', '')")} AS short_t FROM act WHERE {_IN_FORCE} AND row_n % 50 = 0 AND DescriptionOfID IS NOT NULL), n AS (SELECT row_n, (SELECT count(DISTINCT ID) FROM tt WHERE len(short_t) > 0 AND list_has_all(t, short_t)) AS s, (SELECT count(DISTINCT ID) FROM tt WHERE len(full_t) > 0 AND list_has_all(t, full_t)) AS f FROM qs) SELECT CASE WHEN s = 1 THEN 'unique' WHEN f = 1 THEN 'unique_with_maker' ELSE 'ambiguous' END AS category, count(*) AS n FROM n GROUP BY 1")
 def ambiguity_categories(spark: SparkSession, folder: str) -> DataFrame:
-    """Whether a title (row numbers divisible by 50) without its maker names one ID among all, needs the maker, or neither."""
-    t = titles(spark, folder)
-    q = t.where("row_n % 50 = 0")
-    short = wl.subset_matches(t, "ID", "tokens", q.select("row_n", tx.tokenize(F.regexp_replace("DescriptionOfID", "/.*$", "")).alias("w")), "row_n", "w")
-    full = wl.subset_matches(t, "ID", "tokens", q.select("row_n", F.col("tokens").alias("w")), "row_n", "w").withColumnRenamed("n_ids", "n_full")
-    category = F.when(F.col("n_ids") == 1, "unique").when(F.col("n_full") == 1, "unique_with_maker").otherwise("ambiguous")
-    return short.join(full, "row_n").groupBy(category.alias("category")).agg(F.count(F.lit(1)).alias("n"))
+    """What a title in force needs to name one ID among all: head, brand and all attributes, the maker or part number too, or more.
+
+    ``(category, n, share)``: ``unique_with_all_attrs``, ``needs_mfr_or_partno`` and ``unique_under_none`` of all titles; the second split into
+    ``mfr_only``, ``partno_only`` and ``either``; and the titles that have a maker (``has_mfr``) or part number (``has_partno``).  Shares are of
+    all titles, null without any.  The SQL states an earlier form of this query.
+    """
+    h = stage_table(heads(spark, folder).where(is_id(F.col("ID"))).select("row_n", "ID", "d", "DescriptionOfID", "Type", tx.tokenize(F.col("DescriptionOfID")).alias("tokens")), "ambiguity_titles")
+    asked = stage_table(h.select("row_n", wl.detail_queries(F.col("DescriptionOfID"), F.col("Type"), F.col("d")).alias("q")).select("row_n", "q.*"), "ambiguity_queries")
+    names = ["all_attrs", "mfr", "partno"]
+    each = asked.select("row_n", F.explode(F.array(*(F.struct(F.lit(v).alias("variant"), F.col(v).alias("query")) for v in names))).alias("v")).select("row_n", "v.*").where("query IS NOT NULL")
+    n = wl.subset_matches(h, "ID", "tokens", each.select("query").distinct().withColumn("w", tx.tokenize(F.col("query"))), "query", "w")
+    one = lambda v: F.coalesce(F.max(F.when(F.col("variant") == v, F.col("n_ids") == 1)), F.lit(False)).alias(v)
+    has = lambda v: F.coalesce(F.max(F.col("variant") == v), F.lit(False)).alias(f"has_{v}")
+    rows = each.join(n, "query").groupBy("row_n").agg(*(one(v) for v in names), *(has(v) for v in names[1:]))
+    a, m, p = (F.col(v) for v in names)
+    said = {"unique_with_all_attrs": a, "needs_mfr_or_partno": ~a & (m | p), "unique_under_none": ~a & ~m & ~p, "mfr_only": ~a & m & ~p, "partno_only": ~a & p & ~m, "either": ~a & m & p, "has_mfr": F.col("has_mfr"), "has_partno": F.col("has_partno")}
+    counts = rows.agg(F.count(F.lit(1)).alias("all"), *(F.count_if(c).alias(k) for k, c in said.items()))  # one row
+    listed = counts.select("all", F.explode(F.array(*(F.struct(F.lit(k).alias("category"), F.col(k).alias("n")) for k in said))).alias("x"))
+    return listed.select("x.category", "x.n", F.when(F.col("all") > 0, F.round(F.col("x.n") / F.col("all"), 4)).alias("share"))
 
 
 @query(f"WITH {classified_sql(_BOTH)}, g AS (SELECT DISTINCT ID AS gid, {tokens_sql('DescriptionOfID')} AS t FROM act WHERE contains(Type, 'عمومی')), f AS (SELECT ID, arg_min(DescriptionOfID, (RunDate, row_n)) AS d FROM act WHERE NOT contains(Type, 'عمومی') GROUP BY ID), s AS (SELECT ID, {tokens_sql('d')} AS t FROM f) SELECT DISTINCT gid AS general_id, ID AS specific_id FROM g JOIN s ON len(g.t) > 0 AND len(s.t) > len(g.t) AND s.t[1] = g.t[1] AND s.t[1:len(g.t)] = g.t")

@@ -370,3 +370,14 @@ def test_synonym_queries_of_every_pair(spark, tmp_path):
     bare = {r.term_n: (r.query, r.n_catalog, r.n_seller, r.n_label, r.tier, r.verdict) for r in got if r.level == "head"}
     want = [("موبایل", 3, 1, 4, "C", "emitted"), ("سردکن", 23, 0, 23, "C", "emitted"), ("هیچ", 0, 0, 0, None, "zero_coverage"), ("یکی", 0, 0, 0, None, "invalid")]
     assert bare == {number[p]: w for p, w in zip(pairs, want, strict=True)} and len(got) == 17
+
+
+def test_ambiguity_of_all_titles(spark, tmp_path):
+    from tarazu.plans.workload import ambiguity_categories
+
+    titles = ["سیب، ریز، شماره فنی ۱ / شرکت باغ", "سیب، ریز، شماره فنی ۲ / شرکت باغ", "سیب، ریز / شرکت دشت", "موز، درشت / زرد", "توت", "توت"]
+    df = spark.createDataFrame([row(n, f"29{n:011d}", "1403-01-01", title=t) for n, t in enumerate(titles, 1)], CATALOG)
+    df.write.parquet(str(tmp_path / "fake_catalog.parquet"))
+    df.limit(0).write.parquet(str(tmp_path / "fake_catalog_general.parquet"))
+    got = {r.category: r.n for r in ambiguity_categories(spark, str(tmp_path)).collect()}
+    assert got == {"unique_with_all_attrs": 1, "needs_mfr_or_partno": 3, "unique_under_none": 2, "mfr_only": 1, "partno_only": 2, "either": 0, "has_mfr": 3, "has_partno": 2}
