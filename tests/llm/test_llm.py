@@ -226,7 +226,7 @@ def test_pieces_round_trip(path, limit, overlap):
             assert n == tok.count(text[a:b]) and n <= limit and b > a
             assert a + o == (last if last is not None else 0)
             if last is not None:
-                assert tok.count(text[a:last]) <= overlap + 4
+                assert on == tok.count(text[a:last]) <= overlap
             rebuilt += text[a + o : b]
             last = b
         assert rebuilt == text
@@ -243,6 +243,26 @@ def test_pieces_are_cut_at_the_strongest_boundary():
         splitting.split_text(text, 8, 8)
 
 
+def test_a_boundary_is_not_given_up_for_the_overlap():
+    paragraph = ("alpha beta gamma delta. " * 95).strip()
+    pieces = splitting.split_text(paragraph + "\n\n" + paragraph, 512, 64)
+    assert len(pieces) == 2 and pieces[0][1] == len(paragraph) + 2 and 0 < pieces[1][4] <= 64
+    # Whole small parts go together, a part over the limit does not take the next section with it.
+    text = "# A\n" + "one two three. " * 8 + "\n# B\n" + "four five six. " * 30 + "\n# C\n" + "seven. " * 4
+    starts = [text[a + o :][:4] for a, _, _, o, _ in splitting.split_text(text, 64, 8)]
+    assert starts[0] == "# A\n" and "\n# B" in starts and "\n# C" in starts
+    # Lines that begin with blanks are boundaries too.
+    text = "\n".join("    " + "word " * 9 for _ in range(40))
+    assert all(text[a + o] == " " and (a + o == 0 or text[a + o - 1] == "\n") for a, _, _, o, _ in splitting.split_text(text, 64, 0))
+
+
+def test_pieces_are_checked_by_a_plain_count(spark):
+    bad = spark.createDataFrame([(1, 1, 0, 8, 0, 9, "one two "), (1, 2, 8, 13, 0, 3, "three")], "doc_id long, piece_n int, start int, end int, overlap_chars int, n_tokens int, text string")
+    docs = spark.createDataFrame([(1, "one two three")], "doc_id long, text string")
+    got = splitting.piece_checks(docs, "doc_id", "text", bad, limit=8).collect()
+    assert [(r.over_limit, r.wrong_sizes, r.cut_paragraphs) for r in got] == [(0, 2, 1)]
+
+
 def test_pieces_of_a_table(spark):
     df = spark.createDataFrame([(1, "a b c " * 400, 0), (2, None, 0), (3, "", 0), (4, "x", 0), (4, "x", 0)], "doc_id long, text string, start int")
     got = splitting.split_documents(df, "doc_id", "text", 64, 8).collect()
