@@ -216,8 +216,7 @@ def piece_checks(docs: DataFrame, doc_id: str, text: str, pieces: DataFrame, lim
         for whole, own in zip(wholes, given):
             sizes = [count(p["piece"]) for p in own]
             ends, cut, at = {p["end"] for p in own}, 0, 0
-            for m in [*SEPARATORS[1][1].finditer(whole), None]:
-                to = m.end() if m else len(whole)
+            for to in sorted({m.end() for _, cuts in SEPARATORS[:2] for m in cuts.finditer(whole)} | {len(whole)}):
                 inside = sum(at < e < to for e in ends)
                 cut += inside if inside and count(whole[at:to]) <= limit else 0
                 at = to
