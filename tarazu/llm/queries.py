@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tarazu.llm.canonical import map_values
 from tarazu.llm.leakage import PASSAGE, SLOP, find_leaks
 from tarazu.llm.lookalike import flat_form, look_same_form, script_findings
-from tarazu.llm.mixing import Mixture, mix
+from tarazu.llm.mixing import REACHABLE, Mixture, mix, mixture_checks
 from tarazu.llm.splitting import piece_checks, split_documents
 from tarazu.operators.skew import salted, salted_join
 from tarazu.sources.tables import both_catalogs, is_id, table
@@ -61,8 +61,8 @@ def p7_proximity(spark: SparkSession, folder: str) -> DataFrame:
     return _leaks(spark, folder, SLOP)
 
 
-def _mixture(spark: SparkSession, folder: str) -> Mixture:
-    return mix(table(spark, folder, "documents"), "doc_id", "source", "text", table(spark, folder, "mix_targets"))
+def _mixture(spark: SparkSession, folder: str, total: str | None = None) -> Mixture:
+    return mix(table(spark, folder, "documents"), "doc_id", "source", "text", table(spark, folder, "mix_targets"), total)
 
 
 def p8_mixture(spark: SparkSession, folder: str) -> DataFrame:
@@ -73,6 +73,16 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     return _mixture(spark, folder).shares
 
 
+def p8_reachable_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """The shares of the largest mixture in which every source has its share."""
+    return _mixture(spark, folder, REACHABLE).shares
+
+
+def p8_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """What is wrong with the mixture (nothing)."""
+    return mixture_checks(_mixture(spark, folder), table(spark, folder, "documents"), "doc_id", "text")
+
+
 def p9_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return split_documents(table(spark, folder, "documents"), "doc_id", "text")
 
@@ -82,7 +92,7 @@ def p9_checks(spark: SparkSession, folder: str) -> DataFrame:
     return piece_checks(table(spark, folder, "documents"), "doc_id", "text", p9_pieces(spark, folder))
 
 
-QUERIES = {q.__name__: q for q in (p3_found, p3_forms, p6_found, p6_unmatched_values, p7_found, p7_proximity, p8_mixture, p8_shares, p9_pieces, p9_checks)}
+QUERIES = {q.__name__: q for q in (p3_found, p3_forms, p6_found, p6_unmatched_values, p7_found, p7_proximity, p8_mixture, p8_shares, p8_reachable_shares, p8_checks, p9_pieces, p9_checks)}
 
 
 # --- The same in SQL -------------------------------------------------------------------------------------------------
@@ -127,4 +137,7 @@ SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (n, g)"""
 #: Round trip of every text; the sizes and the boundaries have to be right everywhere.
 _P9 = "SELECT doc_id, md5(text) AS rebuilt, 0 AS over_limit, 0 AS wrong_sizes, 0 AS cut_paragraphs FROM documents WHERE text <> ''"
 
-SQL = {"p9_checks": _P9, "p3_found": _P3, "p7_found": _P7}
+#: The targeted sources with tokens; caps, texts and goals have to be kept everywhere.
+_P8 = "SELECT source, 0 AS over_cap, 0 AS changed, TRUE AS near_goal FROM mix_targets WHERE target_share > 0 AND max_repeats > 0 AND source IN (SELECT source FROM documents WHERE text <> '')"
+
+SQL = {"p8_checks": _P8, "p9_checks": _P9, "p3_found": _P3, "p7_found": _P7}

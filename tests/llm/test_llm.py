@@ -164,9 +164,22 @@ def test_leaks_near_and_none(spark):
 def test_replication_has_the_mean_and_the_cap():
     for rate in (0.02, 0.4, 1.0, 2.7, 3.99):
         for cap in (1, 2, 4, 60):
-            cdf = mixing.replication(rate, cap)
-            mean = sum(1 - c for c in cdf)
-            assert len(cdf) <= cap and abs(mean - min(rate, cap)) < 1e-3
+            mean = mixing.poisson_mean(rate, cap)
+            assert mean == float("inf") if rate >= cap else abs(mixing.cut_mean(mean, cap) - rate) < 1e-6
+
+
+def test_copies_invert_the_distribution(spark):
+    import math
+
+    n = 4000
+    for mean, cap in ((0.3, 2), (1.7, 5), (900.0, 1200), (0.0, 3), (float("inf"), 3)):
+        got = [r[0] for r in spark.range(n).select(mixing.copies((F.col("id") + 0.5) / n, F.lit(mean), F.lit(cap))).collect()]
+        assert got == sorted(got) and max(got) <= cap
+        if mean in (0.3, 1.7):
+            for k in range(cap):
+                below = sum(math.exp(-mean) * mean**i / math.factorial(i) for i in range(k + 1))
+                assert abs(sum(x <= k for x in got) / n - below) <= 1 / n
+        assert abs(sum(got) / n - mixing.cut_mean(mean, cap)) < 1 if 0 < mean < 1e6 else set(got) == {0 if mean == 0 else cap}
 
 
 def test_mixture_reaches_its_shares(spark):
@@ -175,7 +188,7 @@ def test_mixture_reaches_its_shares(spark):
     rows += [(9000, None, "lost"), (9001, "other", "lost"), (9002, "big", ""), (9003, "mid", None)]
     docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
     targets = spark.createDataFrame([("big", 0.5, 1), ("mid", 0.3, 2), ("small", 0.15, 3), ("none", 0.05, 2)], "source string, target_share double, max_repeats int")
-    m = mixing.mix(docs, "doc_id", "source", "text", targets)
+    m = mixing.mix(docs, "doc_id", "source", "text", targets, mixing.REACHABLE)
     shares = {r.source: r for r in m.shares.collect()}
     assert shares["none"].actual_share == 0 and shares[None].mixture_docs == 0 and shares["other"].target_share is None
     for s, share in (("big", 0.5), ("mid", 0.3), ("small", 0.15)):
@@ -186,10 +199,25 @@ def test_mixture_reaches_its_shares(spark):
     for r in got:
         uses.setdefault((r.source, r.doc_id), []).append(r.copy_n)
     assert all(sorted(c) == list(range(1, len(c) + 1)) and len(c) <= {"big": 1, "mid": 2, "small": 3}[s] for (s, _), c in uses.items())
-    again = mixing.mix(docs.repartition(3), "doc_id", "source", "text", targets)
+    again = mixing.mix(docs.repartition(3), "doc_id", "source", "text", targets, mixing.REACHABLE)
     assert sorted((r.doc_id, r.copy_n) for r in again.rows.collect()) == sorted((r.doc_id, r.copy_n) for r in got)
     text = {r[0]: r[2] for r in rows}
     assert all(r.text == text[r.doc_id] for r in got)
+    # As large as the corpus: small gives all its three copies, what it lacks the others have by their shares.
+    m = mixing.mix(docs, "doc_id", "source", "text", targets)
+    all_in = {r.source: r for r in m.shares.collect()}
+    have = {s: all_in[s].source_tokens for s in ("big", "mid", "small")}
+    assert m.total == sum(have.values()) and all_in["small"].mixture_tokens == 3 * have["small"] and all_in["small"].missing_tokens > 0
+    assert abs(sum(r.mixture_tokens for r in all_in.values()) - m.total) < 60
+    assert abs(all_in["big"].mixture_tokens / all_in["mid"].mixture_tokens - 5 / 3) < 0.02 or all_in["mid"].mixture_tokens == 2 * have["mid"]
+    assert {(r.over_cap, r.changed, r.near_goal) for r in mixing.mixture_checks(m, docs, "doc_id", "text").collect()} == {(0, 0, True)}
+
+
+def test_many_sources_with_large_caps_are_tuned(spark):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), (F.col("id") % 300).cast("string").alias("source"), F.lit("a few words here").alias("text"))
+    targets = spark.range(300).select(F.col("id").cast("string").alias("source"), F.lit(1 / 300).alias("target_share"), F.lit(400).alias("max_repeats"))
+    shares = mixing.mix(docs, "doc_id", "source", "text", targets, total=300 * 4000.0).shares.collect()
+    assert all(abs(r.mixture_tokens - 4000) <= r.largest_doc for r in shares)
 
 
 def test_mixture_edge_cases(spark):
