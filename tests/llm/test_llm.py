@@ -68,6 +68,7 @@ def test_forms_of_a_column(spark):
 
 TITLES = [("1", "سینک معدنی متوسط"), ("1", "سينك" + ZWNJ + "معدنی متوسط"), ("2", "یخچال فروشگاهی بزرگ"), ("3", "گلدان دیجیتال معطر"), ("4", "پمپ پزشکی باریک"), (None, "کولر چوبی کوتاه"), ("5", None)]
 NAMES = [("یخچال", "سردکن"), ("سینک", "لگن ظرفشویی"), ("نیست", "هیچ")]
+SCORES: dict[str, float] = {}
 VALUES = {
     "سینک معدنی": "1",
     "متوصت سینک": "1",
@@ -85,13 +86,17 @@ VALUES = {
 }
 
 
-@pytest.mark.parametrize("block", [2, 50_000])
-def test_values_get_the_entry_they_mean(spark, block):
+@pytest.mark.parametrize("block,most_words", [(50_000, 200_000), (2, 200_000), (2, 5)])
+def test_values_get_the_entry_they_mean(spark, block, most_words):
     values = spark.createDataFrame([(v, 1) for v in VALUES] * 2 + [(None, 1), ("", 1)], "v string, entry int")
     titles = spark.createDataFrame(TITLES, "id string, t string")
     names = spark.createDataFrame([*NAMES, (None, "x"), ("y", None)], "word string, name string")
-    got = canonical.map_values(values, "v", titles, "id", "t", names, "word", "name", unmatched="unmatched", block=block).collect()
+    got = canonical.map_values(values, "v", titles, "id", "t", names, "word", "name", unmatched="unmatched", block=block, most_words=most_words).collect()
     assert {r.value: r.entry for r in got} == VALUES and len(got) == len(VALUES)
+    # Scores are those of the whole list, however it is worked off.
+    scores = {r.value: r.score for r in got}
+    assert scores == SCORES or not SCORES
+    SCORES.update(scores)
     none = canonical.map_values(values, "v", titles.limit(0), "id", "t", names, "word", "name").collect()
     assert len(none) == len(VALUES) and {r.entry for r in none} == {None}
     assert canonical.map_values(values.limit(0), "v", titles, "id", "t", names, "word", "name").count() == 0
@@ -104,25 +109,63 @@ def test_values_get_the_entry_they_mean(spark, block):
 def test_words_typed_together_may_be_short_or_hold_a_slip(value, entry):
     titles = [("1", "شارژر خانگی بلند"), ("2", "قابلمه هوشمند تكفاز"), ("3", "پمپ خانگی شفاف"), ("4", "تراکتور هوشمند کوچک"), ("5", "شامپو زمستانه براق"), ("6", "خودکار چوبی کوتاه")]
     names = [("قابلمه", "دیگ"), ("خودکار", "قلم")]
-    index = canonical.Titles([(i, tuple(canonical.words_of(t))) for i, t in titles], [("".join(canonical.words_of(w)), tuple(canonical.words_of(n))) for w, n in names])
-    found = index.match(value)
+    index = canonical.Titles([(i, tuple(canonical.words_of(t))) for i, t in titles])
+    surfaces = sorted({(w, w, 1) for ws in index.words for w in ws} | {("".join(canonical.words_of(n)), "".join(canonical.words_of(w)), len(canonical.words_of(n))) for w, n in names})
+    words = word_index(surfaces)
+    found = index.match(canonical.Reader(words.lookup, words.longest).candidates(value))
     assert (index.ids[found[0][1]] if found else None) == entry
 
 
+def word_index(surfaces):
+    frequency = {}
+    for s in {s for s, _, _ in surfaces}:
+        for p in {canonical.place(g) for g, _ in canonical.grams(s)}:
+            frequency[p] = frequency.get(p, 0) + 1
+    return canonical.Words(surfaces, frequency, len({s for s, _, _ in surfaces}))
+
+
+def test_words_are_assigned_to_disjoint_spans():
+    rng = random.Random(9)
+
+    def naive(spans):
+        best = (0, 0.0)
+        names = sorted(spans)
+
+        def go(k, taken, score):
+            nonlocal best
+            if k == len(names):
+                best = max(best, (len(taken), round(score, 9)))
+                return
+            go(k + 1, taken, score)
+            for a, b, s in spans[names[k]]:
+                if all(b <= x or a >= y for x, y in taken):
+                    go(k + 1, [*taken, (a, b)], score + s * (b - a))
+
+        go(0, [], 0.0)
+        return best
+
+    for _ in range(300):
+        spans = {}
+        for w in "abcd"[: rng.randrange(1, 5)]:
+            for _ in range(rng.randrange(1, 4)):
+                a = rng.randrange(12)
+                spans.setdefault(w, []).append((a, a + rng.randrange(1, 5), rng.randrange(1, 9) / 8))
+        assert canonical.assign(spans) == naive(spans)
+
+
 def test_lookup_equals_a_scan_of_the_list():
     rng = random.Random(3)
     letters = "ابپتجد"
     entries = ["".join(rng.choice(letters) for _ in range(rng.randrange(3, 8))) for _ in range(60)]
-    index = canonical.Titles([(str(i), (w,)) for i, w in enumerate(entries)], [])
+    index = word_index(sorted({(w, w, 1) for w in entries}))
     for _ in range(300):
         span = list(rng.choice(entries))
         span[rng.randrange(len(span))] = rng.choice(letters)
         span = "".join(span)
-        v = index._vector(span)
-        cos = {w: sum(x * index._vector(w).get(g, 0) for g, x in v.items()) for w in set(entries)}
-        top = max(cos.values())
-        want = {span} if span in cos else {w for w, s in cos.items() if s >= max(canonical.THRESHOLD, top - canonical.WITHIN) and canonical.edits(span, w, canonical.slips(w)) <= canonical.slips(w)}
-        assert {w for w, _ in index.lookup(span)} == want
+        v = index.vector(span)
+        cos = {w: sum(x * index.vector(w).get(g, 0) for g, x in v.items()) for w in set(entries)}
+        want = {span} if span in cos else {w for w, s in cos.items() if s >= canonical.THRESHOLD and canonical.edits(span, w, canonical.slips(w)) <= canonical.slips(w)}
+        assert {w for w, *_ in index.lookup(span)} == want
 
 
 def naive_leaks(docs, items, size):
