@@ -1,13 +1,14 @@
 """Evaluation texts that occur, in whole or in part, in training documents.
 
-Method: a distributed positional inverted index.  The documents are indexed in shards, each with the postings (positions) of its
-tokens; a document is never cut, so all of an intersection happens inside one shard and no posting is shuffled.  Every window of
-consecutive words of a test item starts from its rarest word in the corpus; the position lists, adjusted by the words'
-offsets, are intersected from there, in order of rarity, until nothing is left.  What is left are exact phrase matches; a second walk over the
-same lists finds the words in order with a few others between them (proximity matches).
-
-The index holds the postings of the words that occur in a test item; no other posting can take part in a match.  Test items are
-worked off in blocks of a fixed number of words, so what is shipped to the tasks is bounded however large the test material is.
+Method: a distributed positional inverted index.  The postings of all words of all documents are stored once, in shards of whole documents: a
+document is never cut, so all of an intersection happens inside one shard and no posting is shuffled.  Any number of test sets can be searched in a
+stored index; the documents are not read again.  Every window of consecutive words of a test item belongs to its rarest word in the corpus: a shard
+works only on the windows of words it has, and intersects their position lists, adjusted by the words' offsets, from the rarest on until nothing
+is left.  What is left are exact phrase matches; a second walk over the same lists finds the words in order with a few others between them (proximity
+matches).
+
+Test items are worked off in blocks of a fixed number of words, so what is shipped to the tasks is bounded however large the test material is; of
+several blocks each one's matches are written before the next is shipped.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,7 +31,7 @@ from tarazu.session import stage_table
 #: Consecutive words that make a passage; an item that is shorter must occur in whole.
 PASSAGE = 10
 #: Tokens in a shard of the index, about (a longer document is a shard of its own), and words of test items in a block.
-SHARD_TOKENS, BLOCK_WORDS = 1 << 20, 500_000
+SHARD_TOKENS, BLOCK_WORDS = 1 << 18, 500_000
 #: Other words that may stand between those of a proximity match.
 SLOP = 4
 
@@ -48,83 +51,72 @@ _INDEX = T.StructType(
     [
         T.StructField("doc_ids", T.ArrayType(T.LongType(), False), False),
         T.StructField("starts", T.ArrayType(T.IntegerType(), False), False),
-        T.StructField("terms", T.ArrayType(T.IntegerType(), False), False),
+        T.StructField("terms", T.ArrayType(T.StringType(), False), False),
         T.StructField("counts", T.ArrayType(T.IntegerType(), False), False),
         T.StructField("postings", T.BinaryType(), False),
     ]
 )
+_ARROW = pa.schema([("doc_ids", pa.list_(pa.int64())), ("starts", pa.list_(pa.int32())), ("terms", pa.list_(pa.string())), ("counts", pa.list_(pa.int32())), ("postings", pa.binary())])
 
 
-def _packed(steps: np.ndarray) -> bytes:
-    """Position steps as bytes: one byte below 255, else 255 and four bytes at the end of the list."""
-    small = np.minimum(steps, 255).astype(np.uint8)
-    return small.tobytes() + steps[steps >= 255].astype("<i4").tobytes()
+def _shard(doc_ids: list[int], lengths: list[int], stream: list[str]) -> pa.RecordBatch:
+    """A row of the index: the documents, where each starts in the shard's stream of words, and the positions of every word, as steps from the one
+    before, word after word."""
+    coded = pa.array(stream, pa.string()).dictionary_encode()
+    codes = coded.indices.to_numpy()
+    order = np.argsort(codes, kind="stable")
+    first = np.flatnonzero(np.r_[True, np.diff(codes[order]) > 0])
+    steps = np.diff(order, prepend=0)
+    steps[first] = order[first]
+    values = [doc_ids, np.cumsum([0, *lengths[:-1]]), coded.dictionary.to_pylist(), np.diff(np.r_[first, len(order)]), steps.astype("<i4").tobytes()]
+    return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, _ARROW)], schema=_ARROW)
 
 
-def _unpacked(data: bytes, n: int) -> np.ndarray:
-    steps = np.frombuffer(data, np.uint8, n).astype(np.int64)
-    steps[steps == 255] = np.frombuffer(data, "<i4", offset=n)
-    return steps
+def build_index(docs: DataFrame, doc_id: str, text: str, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+    """The positional index of all words of all documents, one row a shard of about ``shard_tokens`` words (a longer document is a shard of its own).
 
-
-def _shard_row(doc_ids: list[int], ids: list[np.ndarray], gap: int) -> dict:
-    starts, at = [], 0
-    flat = []
-    for x in ids:
-        starts.append(at)
-        flat.append(x)
-        flat.append(np.full(gap, -1, np.int32))
-        at += len(x) + gap
-    stream = np.concatenate(flat) if flat else np.empty(0, np.int32)
-    where = np.flatnonzero(stream >= 0)
-    order = np.argsort(stream[where], kind="stable")
-    pos, term = where[order], stream[where][order]
-    first = np.flatnonzero(np.r_[True, term[1:] != term[:-1]]) if len(term) else np.empty(0, np.int64)
-    steps = np.diff(pos, prepend=0)
-    if len(first):
-        steps[first] = pos[first]
-    return {"doc_ids": doc_ids, "starts": starts, "terms": term[first].tolist(), "counts": np.diff(np.r_[first, len(term)]).tolist(), "postings": _packed(steps)}
-
-
-def build_index(docs: DataFrame, doc_id: str, text: str, vocabulary: dict[str, int], gap: int, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
-    """One row a shard: its documents, where each starts in the shard's stream of tokens, and the positions of every term in it."""
-    shipped = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    Ids are whole numbers.  Rows with a null id or text and texts without a word are not in it; a row given twice is in it twice.  Nothing is shuffled.
+    Write it once (``stage_table`` or a table of your own) and give it to :func:`search_index` as often as there are test sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = shipped.value.get
-        schema = pa.schema([("doc_ids", pa.list_(pa.int64())), ("starts", pa.list_(pa.int32())), ("terms", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32())), ("postings", pa.binary())])
         doc_ids: list[int] = []
-        ids: list[np.ndarray] = []
-        held = 0
+        lengths: list[int] = []
+        stream: list[str] = []
         for batch in batches:
             for d, t in zip(batch.column(0).to_pylist(), batch.column(1)):
                 own = words(t.as_py())
                 if not own:
                     continue
                 doc_ids.append(d)
-                ids.append(np.fromiter((get(w, -1) for w in own), np.int32, len(own)))
-                held += len(own)
-                if held >= shard_tokens:
-                    yield pa.RecordBatch.from_pylist([_shard_row(doc_ids, ids, gap)], schema)
-                    doc_ids, ids, held = [], [], 0
+                lengths.append(len(own))
+                stream += own
+                if len(stream) >= shard_tokens:
+                    yield _shard(doc_ids, lengths, stream)
+                    doc_ids, lengths, stream = [], [], []
         if doc_ids:
-            yield pa.RecordBatch.from_pylist([_shard_row(doc_ids, ids, gap)], schema)
+            yield _shard(doc_ids, lengths, stream)
 
     known = docs.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t")).where("d IS NOT NULL AND t IS NOT NULL AND t <> ''")
     return known.mapInArrow(run, _INDEX)
 
 
-def _windows(items: list[tuple[int, list[int]]], size: int, frequency: np.ndarray) -> dict[tuple[int, ...], tuple[list[int], np.ndarray]]:
-    """Each distinct window of term numbers with the items that have it and its offsets from the rarest term on."""
-    out: dict[tuple[int, ...], tuple[list[int], np.ndarray]] = {}
+#: A window: its words' numbers, their places from the rarest on, and the items that have it.
+Window = tuple[tuple[int, ...], np.ndarray, list[int]]
+
+
+def _windows(items: list[tuple[int, list[int]]], size: int, frequency: np.ndarray) -> dict[int, list[Window]]:
+    """The distinct windows of the items by the number of their rarest word."""
+    seen: dict[tuple[int, ...], list[int]] = {}
     for item, terms in items:
         n = min(size, len(terms))
         for at in range(len(terms) - n + 1):
-            w = tuple(terms[at : at + n])
-            if w not in out:
-                out[w] = ([], np.argsort(frequency[list(w)], kind="stable"))
-            if not out[w][0] or out[w][0][-1] != item:
-                out[w][0].append(item)
+            own = seen.setdefault(tuple(terms[at : at + n]), [])
+            if not own or own[-1] != item:
+                own.append(item)
+    out: dict[int, list[Window]] = {}
+    for w, own in seen.items():
+        order = np.argsort(frequency[list(w)], kind="stable")
+        out.setdefault(w[order[0]], []).append((w, order, own))
     return out
 
 
@@ -141,93 +133,92 @@ def _exact(window: tuple[int, ...], order: np.ndarray, lists: dict[int, np.ndarr
     return found
 
 
-def _near(window: tuple[int, ...], order: np.ndarray, lists: dict[int, np.ndarray], slop: int) -> np.ndarray:
-    """Positions of the rarest term around which the window's words stand in order within ``slop`` other words."""
+def _near(window: tuple[int, ...], order: np.ndarray, lists: dict[int, np.ndarray], slop: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last positions at which the window's words stand in order within ``slop`` other words, around each of its rarest word's."""
     a = order[0]
-    anchor = lists[window[a]]
-    lo, hi = anchor.copy(), anchor.copy()
+    lo = hi = lists[window[a]]
     limit = len(window) - 1 + slop
-    for o in range(a + 1, len(window)):
-        p = lists[window[o]]
-        at = np.searchsorted(p, hi, "right")
-        ok = at < len(p)
-        anchor, lo, hi = anchor[ok], lo[ok], p[at[ok]]
-        ok = hi - lo <= limit
-        anchor, lo, hi = anchor[ok], lo[ok], hi[ok]
-        if not len(anchor):
-            return anchor
-    for o in range(a - 1, -1, -1):
-        p = lists[window[o]]
-        at = np.searchsorted(p, lo, "left") - 1
-        ok = at >= 0
-        anchor, hi, lo = anchor[ok], hi[ok], p[at[ok]]
+    for o in [*range(a + 1, len(window)), *range(a - 1, -1, -1)]:
+        p, after = lists[window[o]], o > a
+        at = np.searchsorted(p, hi, "right") if after else np.searchsorted(p, lo, "left") - 1
+        ok = (at < len(p)) & (at >= 0)
+        lo, hi, found = lo[ok], hi[ok], p[at[ok]]
+        lo, hi = (lo, found) if after else (found, hi)
         ok = hi - lo <= limit
-        anchor, lo, hi = anchor[ok], lo[ok], hi[ok]
-        if not len(anchor):
-            return anchor
-    return anchor
+        lo, hi = lo[ok], hi[ok]
+        if not len(lo):
+            break
+    return lo, hi
 
 
-def search_index(index: DataFrame, items: list[tuple[int, list[int]]], n_terms: int, size: int, slop: int | None) -> DataFrame:
-    """``(doc_id, item_id, kind)`` of all matches of a block of items in an index; kind is ``phrase`` or, with ``slop``, ``proximity`` for
-    pairs that have no phrase match."""
-    counts = index.select(F.explode(F.arrays_zip("terms", "counts")).alias("x")).groupBy("x.terms").agg(F.sum("x.counts").alias("n"))
-    frequency = np.zeros(n_terms, np.int64)
-    for r in counts.toLocalIterator():  # one number for each term of the block
-        frequency[r.terms] = r.n
-    shipped = index.sparkSession.sparkContext.broadcast(_windows(items, size, frequency))
+def _search_block(index: DataFrame, items: list[tuple[int, list[str]]], size: int, slop: int | None) -> tuple[DataFrame, Broadcast]:
+    """Matches of a block of items, and what was shipped for them."""
+    spark = index.sparkSession
+    vocabulary = {w: k for k, w in enumerate(sorted({w for _, own in items for w in own}))}
+    asked = spark.createDataFrame(pd.DataFrame({"term": list(vocabulary)}, dtype="object"), "term string")
+    counts = index.select(F.explode(F.arrays_zip("terms", "counts")).alias("x")).select(F.col("x.terms").alias("term"), F.col("x.counts").alias("n"))
+    frequency = np.zeros(max(1, len(vocabulary)), np.int64)
+    for r in counts.join(F.broadcast(asked), "term").groupBy("term").agg(F.sum("n").alias("n")).toLocalIterator():  # one number for each word of the block
+        frequency[vocabulary[r.term]] = r.n
+    shipped = spark.sparkContext.broadcast((list(vocabulary), _windows([(i, [vocabulary[w] for w in own]) for i, own in items], size, frequency)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows = shipped.value
+        terms, windows = shipped.value
+        asked = pa.array(terms, pa.string())
         for batch in batches:
             for row in range(batch.num_rows):
-                doc_ids, starts, terms, n = (batch.column(k)[row].values.to_numpy() for k in range(4))
-                steps = _unpacked(batch.column(4)[row].as_py(), int(n.sum()))
-                ends = np.cumsum(n)
-                total = np.cumsum(steps)
+                doc_ids, starts, own, n = (batch.column(k)[row].values for k in range(4))
+                place = pc.index_in(asked, value_set=own)
+                here = np.flatnonzero(place.is_valid().to_numpy(zero_copy_only=False))
+                ends = np.cumsum(n.to_numpy())
+                steps = np.frombuffer(batch.column(4)[row].as_buffer(), "<i4")
                 lists = {}
-                for t, lo, hi in zip(terms.tolist(), ends - n, ends):
-                    lists[t] = total[lo:hi] - (total[lo - 1] if lo else 0)
+                for t, k in zip(here.tolist(), place.take(pa.array(here)).to_pylist()):
+                    lists[t] = np.cumsum(steps[ends[k - 1] if k else 0 : ends[k]], dtype=np.int64)
+                starts = starts.to_numpy()
                 hits: dict[tuple[int, int], str] = {}
-                here = lists.keys()
-                for window, (own, order) in windows.items():
-                    if not all(t in here for t in window):
-                        continue
-                    for kind, found in (("phrase", _exact(window, order, lists)), *((("proximity", _near(window, order, lists, slop)),) if slop is not None else ())):
-                        for d in set((np.searchsorted(starts, found, "right") - 1).tolist()):
-                            for i in own:
-                                if hits.get((d, i)) != "phrase":
-                                    hits[d, i] = kind
+                for t in lists.keys() & windows.keys():
+                    for window, order, items_of in windows[t]:
+                        if not all(x in lists for x in window):
+                            continue
+                        lo = _exact(window, order, lists)
+                        found = [("phrase", lo, lo + len(window) - 1), *([("proximity", *_near(window, order, lists, slop))] if slop is not None else [])]
+                        for kind, lo, hi in found:
+                            d = np.searchsorted(starts, lo, "right") - 1
+                            for k in set(d[d == np.searchsorted(starts, hi, "right") - 1].tolist()):  # begins and ends in one document
+                                for i in items_of:
+                                    if hits.get((k, i)) != "phrase":
+                                        hits[k, i] = kind
                 if hits:
-                    yield pa.RecordBatch.from_arrays([pa.array([int(doc_ids[d]) for d, _ in hits], pa.int64()), pa.array([i for _, i in hits], pa.int64()), pa.array(list(hits.values()), pa.string())], names=["doc_id", "item_id", "kind"])
+                    docs = doc_ids.take(pa.array([k for k, _ in hits], pa.int64()))
+                    yield pa.RecordBatch.from_arrays([docs, pa.array([i for _, i in hits], pa.int64()), pa.array(list(hits.values()), pa.string())], names=["doc_id", "item_id", "kind"])
 
-    return index.mapInArrow(run, "doc_id long, item_id long, kind string")
+    return index.mapInArrow(run, "doc_id long, item_id long, kind string"), shipped
 
 
-def find_leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, size: int = PASSAGE, slop: int | None = None, block_words: int = BLOCK_WORDS, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
-    """``(doc_id, item_id, kind)``, each pair once: documents that share ``size`` consecutive words with an item, or hold the whole
-    item if it is shorter (``phrase``); with ``slop``, also those that have such a passage in order with up to ``slop`` other words in it
-    (``proximity``).
-
-    Ids are whole numbers.  Rows with a null id or text and texts without a word match nothing; repeated rows change nothing; either table may be
-    empty; other columns are not read.
-    """
-    spark = docs.sparkSession
+def search_index(index: DataFrame, items: DataFrame, item_id: str, item_text: str, size: int = PASSAGE, slop: int | None = None, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """``(doc_id, item_id, kind)``, each pair once: indexed documents that share ``size`` consecutive words with an item, or hold the whole item if it is
+    shorter (``phrase``); with ``slop``, also those that have such a passage in order with up to ``slop`` other words in it (``proximity``).
+
+    Ids are whole numbers.  Items with a null id or text or without a word match nothing; repeated rows change nothing; there may be no items."""
     known = items.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).where("i IS NOT NULL AND t IS NOT NULL AND t <> ''").distinct()
     letters = known.agg(F.sum(F.length("t"))).first()[0] or 0
     blocks = max(1, -(-letters // (6 * block_words)))
     found = None
     for b in range(blocks):
         part = known.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b) if blocks > 1 else known
-        tokens = [(r.i, own) for r in part.toLocalIterator() if (own := words(r.t))]
-        vocabulary: dict[str, int] = {}
-        for _, own in sorted(tokens):
-            for w in own:
-                vocabulary.setdefault(w, len(vocabulary))
-        numbered = [(i, [vocabulary[w] for w in own]) for i, own in sorted(tokens)]
-        gap = size + (slop or 0) + 1
-        index = stage_table(build_index(docs, doc_id, text, vocabulary, gap, shard_tokens), "positional-index", compression="zstd")
-        got = search_index(index, numbered, max(1, len(vocabulary)), size, slop)
+        held = sorted((r.i, own) for r in part.toLocalIterator() if (own := words(r.t)))  # a block of bounded size
+        got, shipped = _search_block(index, held, size, slop)
+        if blocks > 1:
+            got = stage_table(got, "matches")
+            shipped.destroy()
         found = got if found is None else found.unionByName(got)
     # A document given twice is in two shards: one row a pair, the phrase before the proximity.
     return found.groupBy("doc_id", "item_id").agg(F.min("kind").alias("kind"))
+
+
+def find_leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, size: int = PASSAGE, slop: int | None = None, block_words: int = BLOCK_WORDS, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+    """The matches of one test set in documents that have no stored index: :func:`build_index`, written to the shared folder, and
+    :func:`search_index`.  Either table may be empty; other columns are not read."""
+    index = stage_table(build_index(docs, doc_id, text, shard_tokens), "positional-index", compression="zstd")
+    return search_index(index, items, item_id, item_text, size, slop, block_words)

@@ -140,4 +140,11 @@ _P9 = "SELECT doc_id, md5(text) AS rebuilt, 0 AS over_limit, 0 AS wrong_sizes, 0
 #: The targeted sources with tokens; caps, texts and goals have to be kept everywhere.
 _P8 = "SELECT source, 0 AS over_cap, 0 AS changed, TRUE AS near_goal FROM mix_targets WHERE target_share > 0 AND max_repeats > 0 AND source IN (SELECT source FROM documents WHERE text <> '')"
 
-SQL = {"p8_checks": _P8, "p9_checks": _P9, "p3_found": _P3, "p7_found": _P7}
+_P7_NEAR = f"""WITH i AS (SELECT item_id, w, least({PASSAGE}, len(w)) AS n FROM (SELECT item_id, {_words_sql("query_text")} AS w FROM eval_golden) WHERE len(w) > 0),
+iw AS (SELECT DISTINCT item_id, n, w[k:k + n - 1] AS g FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS k FROM i)),
+d AS (SELECT DISTINCT doc_id, {_words_sql("text")} AS w FROM documents WHERE text <> ''),
+c AS (SELECT doc_id, item_id, n, g, w, unnest(range(1, len(w) + 1)) AS k FROM d JOIN iw ON list_has_all(w, g)),
+m AS (SELECT DISTINCT doc_id, item_id, w[k:k + n - 1] = g AS whole FROM c WHERE w[k] = g[1] AND regexp_matches(array_to_string(w[k:k + n - 1 + {SLOP}], ' ') || ' ', '^' || array_to_string(g, ' (?:[^ ]+ )*') || ' '))
+SELECT doc_id, item_id, CASE WHEN bool_or(whole) THEN 'phrase' ELSE 'proximity' END AS kind FROM m GROUP BY ALL"""
+
+SQL = {"p7_proximity": _P7_NEAR, "p8_checks": _P8, "p9_checks": _P9, "p3_found": _P3, "p7_found": _P7}

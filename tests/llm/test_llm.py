@@ -195,6 +195,42 @@ def test_leaks_equal_brute_force(spark, block_words, shard_tokens):
     assert sorted((r.doc_id, r.item_id) for r in got.collect()) == sorted(naive_leaks([x for x in docs if x[1]], [x for x in items if x[1]], 4))
 
 
+def test_a_stored_index_serves_other_test_sets_without_the_documents(spark):
+    docs = spark.createDataFrame([(1, "one two three four"), (2, "four five"), (3, "five one two")], "doc_id long, text string").repartition(2)
+    index = leakage.stage_table(leakage.build_index(docs, "doc_id", "text", shard_tokens=5), "index")
+    held = sum(sum(r.counts) for r in index.collect())
+    assert held == 9  # every word of every document, whatever is searched
+    for items, want in (([(1, "one two")], {(1, 1), (3, 1)}), ([(8, "four five"), (9, "three four five")], {(2, 8)}), ([(7, "nothing")], set())):
+        got = leakage.search_index(index, spark.createDataFrame(items, "i long, t string"), "i", "t", size=3)
+        assert {(r.doc_id, r.item_id) for r in got.collect()} == want
+        assert "Scan parquet" in got._jdf.queryExecution().toString() and "Scan ExistingRDD" not in got._jdf.queryExecution().toString().split("Physical")[-1]
+
+
+def test_proximity_equals_brute_force(spark):
+    rng = random.Random(8)
+    docs = [(i, " ".join(rng.choice("abcde") for _ in range(rng.randrange(1, 25)))) for i in range(80)]
+    items = [(i, " ".join(rng.choice("abcde") for _ in range(rng.randrange(1, 7)))) for i in range(20)]
+
+    def within(w, d, limit):
+        for at in range(len(d)):
+            k = 0
+            for x in d[at : at + limit]:
+                k += k < len(w) and x == w[k]
+            if d[at] == w[0] and k == len(w):
+                return True
+        return False
+
+    want = set()
+    for i, t in items:
+        own = t.split()
+        n = min(4, len(own))
+        for d, text in docs:
+            if any(within(own[k : k + n], text.split(), n + 2) for k in range(len(own) - n + 1)):
+                want.add((d, i))
+    got = leakage.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text", spark.createDataFrame(items, "i long, t string"), "i", "t", size=4, slop=2, shard_tokens=60)
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == want
+
+
 def test_leaks_near_and_none(spark):
     d = spark.createDataFrame([(1, "one two big three four"), (2, "one two three four"), (3, "four three two one"), (4, "one two a b c three four")], "doc_id long, text string")
     t = spark.createDataFrame([(7, "one two three four")], "item_id long, q string")
