@@ -340,6 +340,7 @@ def _known_by_span(values: DataFrame, surfaces: DataFrame, n_words: int, block:
     spans = stage_table(values.mapInPandas(cut, "value string, span string"), "spans")
     each = spans.select("span").distinct().select("span", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(F.xxhash64("span"), F.lit(tasks)).alias("part"))
     held = surfaces.select("surface", "word", "n", F.pmod(F.xxhash64("surface"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(tasks - 1).cast("long"))).alias("part"))
+    each, held = each.repartition(tasks, "block", "part"), held.repartition(tasks, "block", "part")
     hits = each.groupBy("block", "part").cogroup(held.groupBy("block", "part")).applyInPandas(look_up, "span string, word string, score double, exact boolean, n int")
     by_span = hits.groupBy("span").agg(F.collect_set(F.struct("word", "score", "exact", "n")).alias("hits"))  # words within a slip or two of one span
     spelt = F.filter("hits", lambda h: h["exact"])
@@ -385,12 +386,13 @@ def map_values(values: DataFrame, value: str, titles: DataFrame, key: str, title
         asked = distinct.withColumn("spans", F.lit(None).cast("int"))
         shipped = spark.sparkContext.broadcast(sorted((r.surface, r.word, r.n) for r in surfaces.collect()))
 
-    def match(keys: tuple, given: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        index = Titles(sorted((k, tuple(w)) for k, w in zip(held["k"], held["words"])))
-        words = None if by_span else Words(shipped.value, frequency, n_words)
+    blocks = max(1, -(-entries.count() // block))
+    at_once = sorted((r.k, tuple(r.words)) for r in entries.collect()) if blocks == 1 else None  # a block at most
+
+    def answers(given: pd.DataFrame, index: Titles, words: Words | None) -> pd.DataFrame:
         rows = []
         for v, spans in zip(given["value"], given["spans"]):
-            if by_span:
+            if words is None:
                 hits = {s["span"]: [(h["word"], h["score"], bool(h["exact"]), int(h["n"])) for h in s["hits"]] for s in (spans if spans is not None else ())}
                 lookup = lambda span: hits.get(span, [])  # noqa: B023, E731
             else:
@@ -399,10 +401,26 @@ def map_values(values: DataFrame, value: str, titles: DataFrame, key: str, title
             rows.append((v, index.ids[m[0][1]], m[0][0], m[1][0] if len(m) > 1 else 0.0) if m else (v, None, 0.0, 0.0))
         return pd.DataFrame(rows, columns=["value", "entry", "score", "next_score"])
 
-    blocks = max(1, -(-entries.count() // block))
-    each = asked.select("value", "spans", F.pmod(F.xxhash64("value"), F.lit(tasks)).alias("part"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    held = entries.select("k", "words", F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(tasks - 1).cast("long"))).alias("part"))
-    found = each.groupBy("block", "part").cogroup(held.groupBy("block", "part")).applyInPandas(match, "value string, entry string, score double, next_score double").where("value IS NOT NULL")
+    def known_words() -> Words | None:
+        return None if by_span else Words(shipped.value, frequency, n_words)
+
+    def match_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        index, words = Titles(at_once), known_words()
+        for batch in batches:
+            yield answers(batch, index, words)
+
+    def match_block(keys: tuple, given: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        return answers(given, Titles(sorted((k, tuple(w)) for k, w in zip(held["k"], held["words"]))), known_words())
+
+    # Few bytes, much work: adaptive execution would put all values into one task by their size, unless their number is given.
+    result = "value string, entry string, score double, next_score double"
+    if blocks == 1:
+        found = asked.select("value", "spans").repartition(tasks).mapInPandas(match_all, result)
+    else:
+        parts = [F.pmod(F.xxhash64("value"), F.lit(tasks)).alias("part"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")]
+        each = asked.select("value", "spans", *parts).repartition(tasks, "block", "part")
+        held = entries.select("k", "words", F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(tasks - 1).cast("long"))).alias("part"))
+        found = each.groupBy("block", "part").cogroup(held.repartition(tasks, "block", "part").groupBy("block", "part")).applyInPandas(match_block, result)
     if blocks > 1:
         top = F.max(F.struct("score", "entry", "next_score")).alias("b")
         ranked = found.groupBy("value").agg(top, F.sort_array(F.collect_list("score"), asc=False).alias("all"))
