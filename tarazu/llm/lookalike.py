@@ -22,33 +22,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tarazu.llm.confusables import letters_alike
+
 #: Scripts in order of preference.
 SCRIPTS = ("Latin", "Arabic", "Cyrillic", "Greek", "Armenian", "Cherokee")
 
-# Letters drawn like the Latin letter above them (each row: script, letters in the order of LIKE_LATIN's signs).
-ALIKE = {
-    "Cyrillic": {
-        "А": "A", "В": "B", "С": "C", "Е": "E", "Н": "H", "І": "I", "Ј": "J", "К": "K", "М": "M", "О": "O", "Р": "P", "Ԛ": "Q", "Ѕ": "S", "Т": "T", "Ѵ": "V", "Ԝ": "W", "Х": "X", "Ү": "Y", "Ӏ": "I", "У": "Y",
-        "а": "a", "с": "c", "ԁ": "d", "е": "e", "һ": "h", "і": "i", "ј": "j", "ӏ": "l", "о": "o", "р": "p", "ԛ": "q", "ѕ": "s", "ѵ": "v", "ԝ": "w", "х": "x", "у": "y",
-    },
-    "Greek": {
-        "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "Ϳ": "J",
-        "ο": "o", "ν": "v", "ϳ": "j", "ϲ": "c", "Ϲ": "C",
-    },
-    "Armenian": {"Օ": "O", "օ": "o", "Տ": "S", "Լ": "L", "հ": "h", "ո": "n", "ս": "u", "ց": "g", "զ": "q"},
-    "Cherokee": {"Ꭺ": "A", "Ᏼ": "B", "Ꮯ": "C", "Ꭰ": "D", "Ꭼ": "E", "Ꮋ": "H", "Ꭻ": "J", "Ꮶ": "K", "Ꮮ": "L", "Ꮇ": "M", "Ꮲ": "P", "Ꭱ": "R", "Ꮪ": "S", "Ꭲ": "T", "Ꮩ": "V", "Ꮃ": "W", "Ꮓ": "Z"},
-}
 # Letters of the Arabic script that are drawn like another of it, as the project writes them; and signs drawn alike.
 SAME_SCRIPT = {"ي": "ی", "ى": "ی", "ې": "ی", "ك": "ک", "ڪ": "ک", "ە": "ه", "ہ": "ه", "ھ": "ه"}
 SAME_SIGN = {"\u2010": "-", "\u2011": "-", "\u2012": "-", "\u2013": "-", "\u2212": "-", "\u2043": "-", "\u02d7": "-", "\u2044": "/", "\u2215": "/"}
 #: Characters that are blanks here although Unicode does not call them so.
 ZWNJ = "\u200c"
 
-_SIGN = {letter: sign for letters in ALIKE.values() for letter, sign in letters.items()}
-_SPELL: dict[str, dict[str, str]] = {}
-for _script, _letters in ALIKE.items():
-    for _letter, _drawn in _letters.items():
-        _SPELL.setdefault(_drawn, {"Latin": _drawn}).setdefault(_script, _letter)
 _HAMZA = "\u0654"
 
 
@@ -61,14 +45,25 @@ def script_of(c: str) -> str:
     return first if first else "Common"
 
 
+@functools.cache
+def _spelled_by() -> dict[str, dict[str, str]]:
+    """For each sign that letters of several scripts show, how each of them spells it."""
+    out: dict[str, dict[str, str]] = {}
+    for letter, sign in sorted(letters_alike()[0].items()):
+        out.setdefault(sign, {script_of(sign): sign}).setdefault(script_of(letter), letter)
+    return out
+
+
+def sign_of(c: str) -> str:
+    """The sign that a letter shows: one of the letters drawn like it."""
+    return letters_alike()[0].get(c, c)
+
+
 @functools.cache
 def spellings(c: str) -> dict[str, str] | None:
     """How each script spells the sign that ``c`` shows; None if any script goes with it (digits, signs, marks)."""
     own = script_of(c)
-    if own == "Common":
-        return None
-    sign = _SIGN.get(c, c)
-    return {**_SPELL.get(sign, {}), own: c} if sign in _SPELL else {own: c}
+    return None if own == "Common" else _spelled_by().get(sign_of(c), {own: c})
 
 
 def resolve(token: str) -> tuple[str, str]:
@@ -97,7 +92,7 @@ def _spelled(token: str) -> str:
     out = []
     for c in token:
         s = spellings(c)
-        out.append(c if s is None else s.get(script) or _SIGN.get(c, c))
+        out.append(c if s is None else s.get(script) or sign_of(c))
     return "".join(out)
 
 
@@ -123,15 +118,11 @@ def _shown(c: str) -> str:
         return " "
     if kind == "Cf" or 0xFE00 <= code <= 0xFE0F or 0xE0100 <= code <= 0xE01EF or code in (0x34F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x180B, 0x180C, 0x180D, 0x180F, 0x2065, 0x3164, 0xFFA0):
         return ""
-    plain = [same.get(x, x) for x in unicodedata.normalize("NFKD", c)]
+    marked = letters_alike()[1]
+    plain = [same.get(x, x) for y in unicodedata.normalize("NFKD", c) for x in marked.get(y, y)]
     return "".join(str(unicodedata.digit(x)) if unicodedata.category(x) == "Nd" else x for x in plain)
 
 
-def flat_form(c: str) -> str:
-    """The form of a single character, in Latin where a script spells the sign like Latin."""
-    return _composed("".join(_SIGN.get(x, x) for x in _shown(c)))
-
-
 @functools.cache
 def _table() -> dict[int, str]:
     """What every character is replaced by, by rule."""
@@ -159,7 +150,8 @@ def look(text: str | None) -> str | None:
 
 @F.pandas_udf(T.StringType())
 def _look_udf(texts: pd.Series) -> pd.Series:
-    return texts.map(look, na_action="ignore")
+    forms = {t: look(t) for t in texts.unique() if isinstance(t, str)}  # repeated texts of a batch are looked at once
+    return pd.Series([forms[t] if isinstance(t, str) else None for t in texts], dtype="object")
 
 
 def look_same_form(c: Column) -> Column:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarazu.llm.canonical import map_values
 from tarazu.llm.leakage import PASSAGE, SLOP, find_leaks
-from tarazu.llm.lookalike import flat_form, look_same_form, script_findings
+from tarazu.llm.lookalike import look_same_form, script_findings
 from tarazu.llm.mixing import REACHABLE, Mixture, mix, mixture_checks
 from tarazu.llm.splitting import piece_checks, split_documents
 from tarazu.operators.skew import salted, salted_join
@@ -100,23 +102,31 @@ QUERIES = {q.__name__: q for q in (p3_found, p3_forms, p6_found, p6_unmatched_va
 #: Blocks with characters that the SQL replaces: Greek, Cyrillic, digits, blanks, presentation forms, widths.  Characters outside them show
 #: themselves in the test tables.
 _BLOCKS = [(0x80, 0xA0), (0xAD, 0xAD), (0x370, 0x4FF), (0x61C, 0x61C), (0x640, 0x6FF), (0x2000, 0x206F), (0x3000, 0x3000), (0xFB50, 0xFEFF), (0xFF01, 0xFFEF)]
+# Letters drawn like the Latin, or the Arabic, letter at the same place below them.  They are the SQL's own, as a check on the operator's.
+_DRAWN = "АВСЕНІЈКМОРԚЅТѴԜХҮӀУасԁеһіјӏорԛѕѵԝхуΑΒΕΖΗΙΚΜΝΟΡΤΥΧͿονϳيىېكڪەہھ‐‑‒–⁃⁄"
+_ALIKE = "ABCEHIJKMOPQSTVWXYIYacdehijlopqsvwxyABEZHIKMNOPTYXJovjیییککههه-----/"
+
+
+def _replaced(c: str) -> str:
+    """What the SQL writes for a character, by Unicode's own properties and the letters above; '' for one that is not seen."""
+    if c.isspace() or c == "\u200c":
+        return " "
+    if unicodedata.category(c) == "Cf" or "\ufe00" <= c <= "\ufe0f":
+        return ""
+    plain = unicodedata.normalize("NFKC", c)
+    if len(plain) > 1:
+        return c
+    return str(unicodedata.decimal(plain)) if plain.isdecimal() else plain.translate(str.maketrans(_DRAWN, _ALIKE))
 
 
 def form_sql(c: str) -> str:
     """The one form of a text in DuckDB's SQL, for texts whose tokens a single script can spell: each character replaced by the sign it
     shows, then composed."""
-    source, target, deleted = [], [], []
-    for lo, hi in _BLOCKS:
-        for code in range(lo, hi + 1):
-            ch = chr(code)
-            new = flat_form(ch)
-            if new == "":
-                deleted.append(ch)
-            elif len(new) == 1 and new != ch:
-                source.append(ch)
-                target.append(new)
-    marked, quoted = "یٔ", lambda cs: "".join(cs).replace("'", "''")
-    return f"trim(regexp_replace(replace(nfc_normalize(translate({c}, '{quoted(source + deleted)}', '{quoted(target)}')), '{marked}', 'ئ'), '[ \\t\\n\\x0B\\f\\r\\x{{1C}}-\\x{{1F}}]+', ' ', 'g'))"
+    every = [chr(code) for lo, hi in _BLOCKS for code in range(lo, hi + 1)]
+    changed = [(ch, new) for ch in every if (new := _replaced(ch)) and new != ch]
+    source, target, deleted = "".join(ch for ch, _ in changed), "".join(new for _, new in changed), "".join(ch for ch in every if not _replaced(ch))
+    source, target = source.replace("'", "''"), target.replace("'", "''")
+    return f"trim(regexp_replace(replace(nfc_normalize(translate({c}, '{source}{deleted}', '{target}')), 'یٔ', 'ئ'), '[ \\t\\n\\x0B\\f\\r\\x{{1C}}-\\x{{1F}}]+', ' ', 'g'))"
 
 
 _BOTH = "(SELECT ID, row_n, DescriptionOfID FROM fake_catalog UNION ALL SELECT ID, row_n, DescriptionOfID FROM fake_catalog_general)"
@@ -128,11 +138,17 @@ def _words_sql(c: str) -> str:
     return f"regexp_extract_all(lower({form_sql(c)}), '[\\p{{L}}\\p{{N}}]+')"
 
 
-_P7 = f"""WITH i AS (SELECT item_id, w, least({PASSAGE}, len(w)) AS n FROM (SELECT item_id, {_words_sql("query_text")} AS w FROM eval_golden) WHERE len(w) > 0),
-iw AS (SELECT DISTINCT item_id, n, array_to_string(w[k:k + n - 1], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS k FROM i)),
-d AS (SELECT doc_id, {_words_sql("text")} AS w FROM documents WHERE text <> ''), s AS (SELECT DISTINCT n FROM i),
-dw AS (SELECT doc_id, n, array_to_string(w[k:k + n - 1], ' ') AS g FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, s WHERE len(w) >= n))
-SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (n, g)"""
+_P7_ITEMS = f"""WITH i AS MATERIALIZED (SELECT item_id, w, least({PASSAGE}, len(w)) AS n FROM (SELECT item_id, {_words_sql("query_text")} AS w FROM eval_golden) WHERE len(w) > 0),
+iw AS MATERIALIZED (SELECT DISTINCT item_id, n, unnest(list_transform(range(1, len(w) - n + 2), lambda k: w[k:k + n - 1])) AS g FROM i),
+d AS MATERIALIZED (SELECT *, ' ' || array_to_string(w, ' ') || ' ' AS t FROM (SELECT DISTINCT doc_id, {_words_sql("text")} AS w FROM documents WHERE text <> '') WHERE len(w) > 0)"""
+
+_P7 = f"{_P7_ITEMS} SELECT DISTINCT doc_id, item_id FROM d JOIN iw ON contains(t, ' ' || array_to_string(g, ' ') || ' ')"
+
+_P7_NEAR = f"""{_P7_ITEMS}, c AS MATERIALIZED (SELECT doc_id, item_id, n, g, w, t FROM d JOIN iw ON list_has_all(w, g)),
+m AS MATERIALIZED (SELECT * FROM c WHERE regexp_matches(t, ' ' || array_to_string(g, ' (?:[^ ]+ ){{0,{SLOP}}}') || ' ')),
+k AS (SELECT doc_id, item_id, n, g, w, unnest(list_filter(range(1, len(w) + 1), lambda k: w[k] = g[1])) AS k FROM m),
+x AS (SELECT doc_id, item_id, w[k:k + n - 1] = g AS whole FROM k WHERE regexp_matches(array_to_string(w[k:k + n - 1 + {SLOP}], ' ') || ' ', '^' || array_to_string(g, ' (?:[^ ]+ )*') || ' '))
+SELECT doc_id, item_id, CASE WHEN bool_or(whole) THEN 'phrase' ELSE 'proximity' END AS kind FROM x GROUP BY ALL"""
 
 #: Round trip of every text; the sizes and the boundaries have to be right everywhere.
 _P9 = "SELECT doc_id, md5(text) AS rebuilt, 0 AS over_limit, 0 AS wrong_sizes, 0 AS cut_paragraphs FROM documents WHERE text <> ''"
@@ -140,9 +156,9 @@ _P9 = "SELECT doc_id, md5(text) AS rebuilt, 0 AS over_limit, 0 AS wrong_sizes, 0
 #: The targeted sources with tokens; caps, texts and goals have to be kept everywhere.
 _P8 = "SELECT source, 0 AS over_cap, 0 AS changed, TRUE AS near_goal FROM mix_targets WHERE target_share > 0 AND max_repeats > 0 AND source IN (SELECT source FROM documents WHERE text <> '')"
 
-_P7_NEAR = f"""WITH i AS (SELECT item_id, w, least({PASSAGE}, len(w)) AS n FROM (SELECT item_id, {_words_sql("query_text")} AS w FROM eval_golden) WHERE len(w) > 0),
+_P7_NEAR = f"""WITH i AS MATERIALIZED (SELECT item_id, w, least({PASSAGE}, len(w)) AS n FROM (SELECT item_id, {_words_sql("query_text")} AS w FROM eval_golden) WHERE len(w) > 0),
 iw AS (SELECT DISTINCT item_id, n, w[k:k + n - 1] AS g FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS k FROM i)),
-d AS (SELECT DISTINCT doc_id, {_words_sql("text")} AS w FROM documents WHERE text <> ''),
+d AS MATERIALIZED (SELECT DISTINCT doc_id, {_words_sql("text")} AS w FROM documents WHERE text <> ''),
 c AS (SELECT doc_id, item_id, n, g, w, unnest(range(1, len(w) + 1)) AS k FROM d JOIN iw ON list_has_all(w, g)),
 m AS (SELECT DISTINCT doc_id, item_id, w[k:k + n - 1] = g AS whole FROM c WHERE w[k] = g[1] AND regexp_matches(array_to_string(w[k:k + n - 1 + {SLOP}], ' ') || ' ', '^' || array_to_string(g, ' (?:[^ ]+ )*') || ' '))
 SELECT doc_id, item_id, CASE WHEN bool_or(whole) THEN 'phrase' ELSE 'proximity' END AS kind FROM m GROUP BY ALL"""

@@ -30,8 +30,15 @@ SAME = [
     ("a‑b　c", "a-b" + NBSP + "c"),
     ("СОМ", "COM"),
     ("مشکى", "مشکي"),
+    ("αιργ", "aipy"),
+    ("ıɑɡ", "iag"),
+    ("ꓮⲞ", "AO"),
+    ("ס", "o"),
+    ("Ь", "b"),
+    ("ø", "o\u0338"),
+    ("ԛԝ", "qw"),
 ]
-DIFFERENT = [("hx", "HX"), ("آب", "اب"), ("O", "0"), ("l", "1"), ("کـتاب", "کتاب"), ("مَن", "من"), ("ab", "a b"), ("أ", "ا"), ("т", "T"), ("в", "B")]
+DIFFERENT = [("hx", "HX"), ("آب", "اب"), ("O", "0"), ("l", "1"), ("کـتاب", "کتاب"), ("مَن", "من"), ("ab", "a b"), ("أ", "ا"), ("З", "3"), ("О", "0"), ("І", "l"), ("ا", "l"), ("ه", "o"), ("m", "rn"), ("æ", "ae"), ("т", "T"), ("в", "B")]
 
 
 @pytest.mark.parametrize("a,b", SAME)
@@ -44,6 +51,13 @@ def test_texts_that_look_different_do_not(a, b):
     assert look(a) != look(b)
 
 
+def test_letters_alike_follow_from_the_public_table():
+    signs, composed = lookalike.letters_alike()
+    assert len(signs) > 700 and not any(c.isascii() for c in [*signs, *composed])
+    assert all(signs.get(s, s) == s for s in signs.values())  # a sign is written as itself
+    assert all(unicodedata.category(c)[0] == "L" for c in signs) and not any(unicodedata.bidirectional(c) == "AL" for c in signs)
+
+
 def test_the_form_is_stable_and_says_what_it_found():
     for pair in SAME + DIFFERENT:
         for t in pair:
