@@ -1,7 +1,7 @@
 """Each event with the version of its entity that was in force at the event's time.
 
 Method: events and versions are co-grouped by entity and a vectorised binary search over each entity's sorted
-boundaries finds the version.  Entities share groups (a hash bucket of about ``GROUP_ROWS`` events), as a Python call for
+boundaries finds the version.  Entities share groups (a hash bucket of about ``GROUP_ROWS`` events and versions), as a Python call for
 each entity would cost more than the search; a hot entity is spread over several groups and its versions are repeated in each.
 """
 
@@ -19,8 +19,9 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from tarazu.operators.skew import salted
+from tarazu.session import stage_table
 
-#: Events in one co-group, about.
+#: Events and versions in one co-group, about.
 GROUP_ROWS = 40_000
 _FOREVER = 2_000_000_000
 
@@ -128,10 +129,11 @@ def as_known_at(
     best = F.min(F.struct(*(r.alias(f"r{i}") for i, r in enumerate(ranks)), *(F.col(f"__v_{k}").alias(k) for k in attributes)))
     v = v.groupBy("__e", "__from", "__to", "__known").agg(best.alias("b"))
 
+    # Versions of entities without events take no part.  The others are counted with the events: a group is about so large on both sides.
+    v = stage_table(v.join(e.select("__e").distinct(), "__e", "left_semi"), "versions")
+    parts = max(1, -(-(e.count() + v.count()) // group_rows))
     # A key with more than an eighth of a group is spread: its parts come on top of what else hashes to their group.
-    total = e.count()
-    parts = max(1, -(-total // group_rows))
-    left, right = salted(e, v, ["__e"], [F.col("__at"), *(F.col(k) for k in carry)], max(1, group_rows // 8), total)
+    left, right = salted(e, v, ["__e"], [F.col("__at"), *(F.col(k) for k in carry)], max(1, group_rows // 8))
     bucket = F.pmod(F.xxhash64("__e"), F.lit(parts)).cast("int").alias("__bucket")
     left = left.select("__e", "__at", *carry, bucket, "__salt")
     # The order of preference within one day, as a number: the search needs no other column of it.

@@ -1,8 +1,8 @@
-"""Full history of changing attributes, from periodic snapshots or late corrections.
+"""Full history of changing attributes, from periodic snapshots, sparse updates or late corrections.
 
-Method: every attribute has its own change log (only the events where its value changed) and so its own intervals; the
-intervals of all attributes are combined by splitting at the union of their boundaries, carrying each value forward, and
-joining neighbours that do not differ.
+Method: the events are a log for each attribute on its own.  An event may carry one attribute or several; of the events that carry an attribute
+at one time the latest correction counts, and only those where its value changes begin an interval of it.  The intervals of all attributes are
+combined by splitting them at the union of their boundaries and coalescing neighbours that do not differ.
 """
 
 from __future__ import annotations
@@ -12,49 +12,57 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def latest_events(df: DataFrame, entity: str, at: Column, attributes: dict[str, Column], rank: list[Column]) -> DataFrame:
-    """One event for each (entity, at): the row with the greatest ``rank``.  Aggregated before the shuffle, so that an entity
-    has at most as many rows as it has distinct times, however many it was delivered with."""
-    known = df.select(F.col(entity).alias("__e"), at.alias("__at"), *(c.alias(f"__r{i}") for i, c in enumerate(rank)), *(c.alias(f"__a_{k}") for k, c in attributes.items()))
-    known = known.where("__e IS NOT NULL AND __at IS NOT NULL")
-    best = F.max(F.struct(*(F.col(f"__r{i}") for i in range(len(rank))), *(F.col(f"__a_{k}") for k in attributes)))
-    return known.groupBy("__e", "__at").agg(best.alias("b")).select("__e", "__at", *(F.col(f"b.__a_{k}").alias(k) for k in attributes))
+def change_log(df: DataFrame, entity: str, at: Column, attributes: dict[str, Column], rank: list[Column], carried: dict[str, Column] | None = None) -> DataFrame:
+    """``(__e, attribute, __at, value)``: for each attribute and time at which an event carries it the value of the greatest ``rank``; values as text.
 
+    ``carried``: for each attribute whether an event says anything about it; without it every event carries all of them.  Aggregated before the
+    shuffle, so that an entity has at most as many rows as it has distinct times and attributes, however many events it was delivered with."""
+    said = carried or {}
+    entries = F.array(*(F.struct(F.lit(k).alias("attribute"), c.cast("string").alias("value"), said.get(k, F.lit(True)).alias("said")) for k, c in attributes.items()))
+    known = df.select(F.col(entity).alias("__e"), at.alias("__at"), F.struct(*(c.alias(f"r{i}") for i, c in enumerate(rank))).alias("r"), F.explode(entries).alias("p"))
+    known = known.where("__e IS NOT NULL AND __at IS NOT NULL AND p.said")
+    best = F.max(F.struct("r", F.col("p.value").alias("value"))).alias("b")
+    return known.groupBy("__e", F.col("p.attribute").alias("attribute"), "__at").agg(best).select("__e", "attribute", "__at", "b.value")
 
-def attribute_intervals(df: DataFrame, entity: str, at: Column, attributes: dict[str, Column], rank: list[Column]) -> DataFrame:
+
+def attribute_intervals(df: DataFrame, entity: str, at: Column, attributes: dict[str, Column], rank: list[Column], carried: dict[str, Column] | None = None) -> DataFrame:
     """``(entity, attribute, value, valid_from, valid_to)``: each attribute's own intervals; ``valid_to`` is exclusive, null for the
-    last.  Values are given as text."""
-    events = latest_events(df, entity, at, attributes, rank)
-    pairs = F.explode(F.array(*(F.struct(F.lit(k).alias("attribute"), F.col(k).cast("string").alias("value")) for k in attributes)))
-    long = events.select("__e", "__at", pairs.alias("p")).select("__e", "__at", "p.*")
+    last.  Values are given as text; a change to null begins an interval too."""
     w = W.partitionBy("__e", "attribute").orderBy("__at")
     changed = F.lag("__at").over(w).isNull() | ~F.lag("value").over(w).eqNullSafe(F.col("value"))
-    log = long.withColumn("c", changed).where("c")
+    log = change_log(df, entity, at, attributes, rank, carried)
+    # One shuffle by entity serves this and whatever combines the attributes.
+    log = log.repartition("__e").withColumn("c", changed).where("c")
     return log.select(F.col("__e").alias(entity), "attribute", "value", F.col("__at").alias("valid_from"), F.lead("__at").over(w).alias("valid_to"))
 
 
-def attribute_history(df: DataFrame, entity: str, at: Column, attributes: dict[str, Column], rank: list[Column], at_least: int = 1) -> DataFrame:
-    """``(entity, <attributes>, valid_from, valid_to)``: one row for each time the combination of the attributes held.
-
-    ``at``: the time an event takes effect; of several rows for one (entity, at) the greatest ``rank`` counts (give the row's own
-    number last for a total order).  Nulls are values: a change to null starts a version.  ``valid_to`` is exclusive and null for the
-    last version.  Rows with a null entity or time are left out.  ``at_least`` = 2 keeps only entities with two versions or more.
-    """
-    events = latest_events(df, entity, at, attributes, rank)
-    w = W.partitionBy("__e").orderBy("__at")
-    names = list(attributes)
-    # Each attribute's log: where it changed, marked on the shared time axis of the entity (one sort serves all of them).
-    logs = events.select("__e", "__at", *names, *((F.lag("__at").over(w).isNull() | ~F.lag(k).over(w).eqNullSafe(F.col(k))).alias(f"__c_{k}") for k in names))
-    # The union of all boundaries; each attribute's interval is carried forward over the boundaries of the others.
-    boundary = F.lit(False)
-    for k in names:
-        boundary = boundary | F.col(f"__c_{k}")
-    carried = [F.last(F.when(F.col(f"__c_{k}"), F.struct(F.col(k).alias("v"))), ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0)).getField("v").alias(k) for k in names]
-    split = logs.where(boundary).select("__e", "__at", *carried)
-    # Coalesce: a boundary at which no value differs is none.
+def combine_intervals(intervals: DataFrame, entity: str, attributes: list[str], at_least: int = 1) -> DataFrame:
+    """``(entity, <attributes>, valid_from, valid_to)`` of intervals as :func:`attribute_intervals` gives them: split at the union of all boundaries, each
+    attribute's value where its interval covers the piece (null where none does), pieces that do not differ joined."""
+    w = W.partitionBy("__e").orderBy("valid_from")
+    # A boundary is where any attribute's interval begins; attributes that begin one there are put side by side.
+    own = [F.max(F.when(F.col("attribute") == k, F.struct(F.col("value").alias("v")))).alias(k) for k in attributes]
+    edges = intervals.select(F.col(entity).alias("__e"), "attribute", "value", "valid_from").groupBy("__e", "valid_from").agg(*own)
+    # The intervals of an attribute follow one another without a gap: the one that covers a piece is the last that began.
+    pieces = edges.select("__e", "valid_from", *(F.last(k, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0))["v"].alias(k) for k in attributes))
     same = F.lit(True)
-    for k in names:
+    for k in attributes:
         same = same & F.lag(k).over(w).eqNullSafe(F.col(k))
-    versions = split.withColumn("__keep", F.lag("__at").over(w).isNull() | ~same).where("__keep")
-    out = versions.select("__e", *names, "__at", F.lead("__at").over(w).alias("valid_to"), F.count(F.lit(1)).over(W.partitionBy("__e")).alias("__n"))
-    return out.where(F.col("__n") >= at_least).select(F.col("__e").alias(entity), *names, F.col("__at").alias("valid_from"), "valid_to")
+    versions = pieces.withColumn("__first", F.lag("valid_from").over(w).isNull()).withColumn("__keep", F.col("__first") | ~same).where("__keep")
+    out = versions.select("__e", *attributes, "valid_from", F.lead("valid_from").over(w).alias("valid_to"), F.count(F.lit(1)).over(W.partitionBy("__e")).alias("__n"))
+    return out.where(F.col("__n") >= at_least).select(F.col("__e").alias(entity), *attributes, "valid_from", "valid_to")
+
+
+def attribute_history(df: DataFrame, entity: str, at: Column, attributes: dict[str, Column], rank: list[Column], at_least: int = 1, carried: dict[str, Column] | None = None) -> DataFrame:
+    """``(entity, <attributes>, valid_from, valid_to)``: one row for each time the combination of the attributes held, from their own intervals.
+
+    ``at``: the time an event takes effect; of several events for one (entity, at, attribute) the greatest ``rank`` counts (give the row's own
+    number last for a total order).  ``carried``: which attributes an event says something about; an attribute it does not carry keeps its value.
+    Nulls that are carried are values: a change to null starts a version; before its first event an attribute is null.  ``valid_to`` is exclusive and null
+    for the last version.  Rows with a null entity or time are left out.  Attributes keep their types.  ``at_least`` = 2 keeps only entities with two
+    versions or more.
+    """
+    types = df.select(*(c.alias(k) for k, c in attributes.items())).schema
+    own = attribute_intervals(df.withColumn("__entity", F.col(entity)), "__entity", at, attributes, rank, carried)
+    out = combine_intervals(own, "__entity", list(attributes), at_least)
+    return out.select(F.col("__entity").alias(entity), *(F.col(k).cast(types[k].dataType).alias(k) for k in attributes), "valid_from", "valid_to")

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,14 +34,32 @@ def build_session(app: str = "tarazu", master: str | None = None, extra: dict[st
         builder = builder.master(master)
     for key, value in {**SEMANTIC_CONF, **TUNING_CONF, **(extra or {})}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors' Python workers this package where it is not installed: a zip of it goes with the session.  The driver serves the
+    zip as long as it lives; it is named by its content, so that one is made for each version."""
+    package = Path(__file__).resolve().parent
+    files = sorted(package.rglob("*.py"))
+    digest = hashlib.sha256(b"".join(str(f.relative_to(package)).encode() + f.read_bytes() for f in files)).hexdigest()[:16]
+    name = Path(tempfile.gettempdir()) / f"{package.name}-{os.getuid()}-{digest}.zip"
+    if not name.exists():
+        made = name.with_suffix(f".{os.getpid()}")
+        with zipfile.ZipFile(made, "w") as out:
+            for f in files:
+                out.write(f, f.relative_to(package.parent))
+        made.rename(name)
+    spark.sparkContext.addPyFile(str(name))
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, a laptop) a local folder is made and set, as then driver and
-    executors are one machine.
+    Only where the session names none and its master is local (tests, a laptop) a local folder is made and set, as then driver and
+    executors are one machine.  On a cluster a missing setting is an error: a machine's own folder would lose data with it.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
@@ -46,6 +67,8 @@ def shared_dir(spark: SparkSession) -> str:
     held = spark.sparkContext.getCheckpointDir()
     if held:
         return held.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     made = tempfile.mkdtemp(prefix="tarazu-")
     spark.sparkContext.setCheckpointDir(made)
     return "file://" + made

@@ -80,6 +80,18 @@ def test_history_equals_a_walk(spark):
         assert all((None if v[k] is None else str(v[k])) == r.value for v in inside)
 
 
+def test_attributes_change_at_their_own_times(spark):
+    # (entity, time, attribute given, value, edit): an update may carry one attribute only.
+    rows = [("e", 1, "both", "9", "x", 0), ("e", 3, "vat", "10", None, 0), ("e", 5, "tax", None, "y", 0), ("e", 5, "vat", "10", None, 1), ("e", 7, "tax", None, None, 0), ("e", 3, "vat", "11", None, 1), ("f", 2, "tax", None, "z", 0)]
+    df = spark.createDataFrame(rows, "e string, at int, given string, vat string, tax string, edit int")
+    said = {"vat": F.col("given").isin("both", "vat"), "tax": F.col("given").isin("both", "tax")}
+    attributes = {"vat": F.col("vat"), "tax": F.col("tax")}
+    each = attribute_intervals(df, "e", F.col("at"), attributes, [F.col("edit")], said)
+    assert {tuple(r) for r in each.collect()} == {("e", "vat", "9", 1, 3), ("e", "vat", "11", 3, 5), ("e", "vat", "10", 5, None), ("e", "tax", "x", 1, 5), ("e", "tax", "y", 5, 7), ("e", "tax", None, 7, None), ("f", "tax", "z", 2, None)}
+    got = attribute_history(df, "e", F.col("at"), attributes, [F.col("edit")], carried=said)
+    assert {tuple(r) for r in got.collect()} == {("e", "9", "x", 1, 3), ("e", "11", "x", 3, 5), ("e", "10", "y", 5, 7), ("e", "10", None, 7, None), ("f", None, "z", 2, None)}
+
+
 def test_history_edge_cases(spark):
     df = spark.createDataFrame([("a", 1, None, 0), ("a", 2, None, 0), (None, 1, 5, 0), ("b", None, 5, 0), ("a", 3, 7, 0)], "e string, at int, v int, n int")
     got = attribute_history(df, "e", F.col("at"), {"v": F.col("v")}, [F.col("n")]).orderBy("valid_from").collect()
