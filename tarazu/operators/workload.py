@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tarazu.functions import text as tx
 
@@ -171,9 +175,21 @@ def vague_only(text: Column, words: list[str]) -> Column:
     return F.forall(F.filter(tx.tokenize(text), lambda t: ~t.rlike(r"\A\p{N}+\z")), lambda t: F.array_contains(listed, t))
 
 
+def _typo_words(text: Column) -> Column:
+    """Places and lengths of the words a typing error can go into: those with four letters or more."""
+    words = F.transform(F.split(text, " "), lambda w, i: F.struct(i.alias("i"), F.length(w).alias("n"), F.length(F.regexp_replace(w, r"[^\p{L}]", "")).alias("letters")))
+    return F.filter(words, lambda x: x["letters"] >= 4)
+
+
+def eligible_noise(text: Column) -> Column:
+    """The noise rules that change something in a text, in order; none for null."""
+    rules = {"arabic_letters": text.rlike("[یک]"), "no_zwnj": text.contains(tx.ZWNJ), "persian_digits": text.rlike("[0-9]"), "typo": F.size(_typo_words(text)) > 0}
+    return F.array_compact(F.array(*(F.when(can, F.lit(r)) for r, can in rules.items())))
+
+
 def noise(text: Column, rule: str, seed: int = 7) -> Column:
-    """One noise rule applied to a text: ``arabic_letters``, ``no_zwnj``, ``persian_digits`` or ``typo`` (two neighbouring letters of a word
-    of four or more swapped, or one dropped; which, by a hash of text and seed)."""
+    """One noise rule applied to a text: ``arabic_letters``, ``no_zwnj``, ``persian_digits`` or ``typo`` (in a word of four letters or more two
+    neighbours that differ swapped, or one character dropped; which, by a hash of text and seed).  A text without such a word stays."""
     if rule == "arabic_letters":
         return F.translate(text, "یک", "يك")
     if rule == "no_zwnj":
@@ -183,14 +199,14 @@ def noise(text: Column, rule: str, seed: int = 7) -> Column:
     if rule != "typo":
         raise ValueError(f"no rule {rule}")
     words = F.split(text, " ")
-    long = F.filter(F.transform(words, lambda w, i: F.struct(i.alias("i"), F.length(w).alias("n"))), lambda x: x["n"] >= 4)
+    long = _typo_words(text)
     h = F.xxhash64(text, F.lit(seed))
     chosen = F.try_element_at(long, F.pmod(h, F.greatest(F.size(long), F.lit(1))).cast("int") + 1)
     at = F.pmod(F.shiftrightunsigned(h, 16), chosen["n"] - 1).cast("int")
 
     def change(w: Column) -> Column:
         head, a, b, tail = w.substr(F.lit(1), at), w.substr(at + 1, F.lit(1)), w.substr(at + 2, F.lit(1)), w.substr(at + 3, F.length(w))
-        return F.when(F.pmod(h, 2) == 0, F.concat(head, b, a, tail)).otherwise(F.concat(head, b, tail))
+        return F.when((F.pmod(h, 2) == 0) & (a != b), F.concat(head, b, a, tail)).otherwise(F.concat(head, b, tail))
 
     typed = F.array_join(F.transform(words, lambda w, i: F.when(i == chosen["i"], change(w)).otherwise(w)), " ")
     return F.when(F.size(long) > 0, typed).otherwise(text)
@@ -211,30 +227,51 @@ def round_robin(rows: DataFrame, pair: str, head: str, order: list[Column], n: i
 
 
 def emit_until(rows: DataFrame, cell: str, quota: str, text: str, order: str) -> DataFrame:
-    """The first ``quota`` rows of each cell whose text no earlier row of any cell has, in (cell, order).
+    """The first ``quota`` rows of each cell, cells in order, whose text no row accepted before has; ``place`` counts the accepted ones.
 
-    A text is accepted where it comes first over all cells; aggregates before the shuffle find that place, and the quota is a top-n window.
+    Only accepted rows block a text: one that lies beyond its own cell's quota can still be accepted in a later cell.  A cell can lose at most as many
+    texts as the cells before it may accept, so of each cell only its first rows up to the sum of those quotas and its own can take part: a top-n window
+    over distinct texts, after which as many rows are left as the quotas say, and one task walks them.  A null text blocks nothing and is not accepted.
     """
-    first = rows.groupBy(text).agg(F.min(F.struct(cell, order)).alias("f")).select(text, F.col(f"f.{cell}").alias(cell), F.col(f"f.{order}").alias(order))
-    own = rows.select(cell, quota).distinct()
-    ranked = first.join(own, cell).withColumn("place", F.row_number().over(W.partitionBy(cell).orderBy(order)))
-    return ranked.where(F.col("place") <= F.col(quota)).select(cell, order, text, "place")
+    first = rows.where(F.col(text).isNotNull()).groupBy(cell, text).agg(F.min(order).alias(order), F.max(quota).alias(quota))
+    quotas = rows.groupBy(cell).agg(F.max(quota).alias("q"))
+    so_far = quotas.alias("a").join(quotas.alias("b"), F.col(f"b.{cell}") <= F.col(f"a.{cell}")).groupBy(F.col(f"a.{cell}").alias(cell)).agg(F.sum("b.q").alias("most"))  # cells, not rows
+    ranked = first.withColumn("n", F.row_number().over(W.partitionBy(cell).orderBy(order, text))).join(so_far, cell).where("n <= most").select(cell, quota, text, order)
+    schema = T.StructType([ranked.schema[cell], ranked.schema[order], ranked.schema[text], T.StructField("place", T.IntegerType())])
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        given = sorted((r for b in batches for r in b.itertuples(index=False, name=None)), key=lambda r: (r[0], r[3], r[2]))
+        accepted, taken, out = set(), {}, []
+        for c, most, t, o in given:
+            if taken.get(c, 0) < most and t not in accepted:
+                accepted.add(t)
+                taken[c] = taken.get(c, 0) + 1
+                out.append((c, o, t, taken[c]))
+        yield pd.DataFrame(out, columns=[cell, order, text, "place"])
+
+    return ranked.coalesce(1).mapInPandas(walk, schema)
 
 
 def allocate(sizes: dict, n: int, floor: int) -> dict:
-    """``n`` places over cells: every cell gets its floor (or all it has), the rest goes in proportion to size by largest remainder, ties by
-    cell, and no cell gets more than it has.  Runs on the driver over a table of cells, never over rows."""
-    got = {c: min(floor, s) for c, s in sizes.items()}
-    while (left := min(n, sum(sizes.values())) - sum(got.values())) > 0:
-        open_ = {c: sizes[c] for c in sizes if got[c] < sizes[c]}
-        whole = sum(open_.values())
-        exact = {c: left * s / whole for c, s in open_.items()}
-        add = {c: min(int(exact[c]), sizes[c] - got[c]) for c in open_}
-        short = left - sum(add.values())
-        for c in sorted(open_, key=lambda c: (-(exact[c] - int(exact[c])), c)):
-            if short and got[c] + add[c] < sizes[c]:
-                add[c] += 1
-                short -= 1
-        for c, a in add.items():
-            got[c] += a
+    """``n`` places (at most as many as there are rows) over cells, in proportion to size.
+
+    A cell whose proportional share is below its floor (``floor``, or all it has) gets the floor, and the others share what is left, until no share is
+    below; then the largest remainder rounds, ties by cell.  Empty cells get no row; floors that need more than ``n`` together are an error.  Runs on
+    the driver over a table of cells, never over rows."""
+    least = {c: min(floor, s) for c, s in sizes.items() if s > 0}
+    total = min(n, sum(sizes[c] for c in least))
+    if sum(least.values()) > total:
+        raise ValueError(f"{n} places are too few for the floors of {len(least)} cells")
+    at_floor: set = set()
+    while True:
+        rest = [c for c in least if c not in at_floor]
+        left, whole = total - sum(least[c] for c in at_floor), sum(sizes[c] for c in rest)
+        below = {c for c in rest if left * sizes[c] < least[c] * whole}
+        if not below:
+            break
+        at_floor |= below
+    got = {c: least[c] if c in at_floor else left * sizes[c] // whole for c in least}
+    remainders = sorted(rest, key=lambda c: (-(left * sizes[c] % whole), c))
+    for c in remainders[: total - sum(got.values())]:
+        got[c] += 1
     return got

@@ -18,10 +18,11 @@ _BOTH = "(SELECT * FROM fake_catalog UNION ALL BY NAME SELECT * FROM fake_catalo
 _IDS = "list_transform(string_split(coalesce(expected_sstid, ''), ';'), lambda x: trim(x))"
 
 
-@query(
-    f"""SELECT item_id, CASE WHEN coalesce(trim(query_text), '') = '' THEN 'empty_query' WHEN coalesce(tier, '') NOT IN ('S', 'C') THEN 'bad_tier' WHEN len(list_filter({_IDS}, lambda x: NOT regexp_full_match(x, '[0-9]{{13}}'))) > 0 THEN 'bad_id'
-  WHEN len(list_distinct({_IDS})) < len({_IDS}) THEN 'duplicate_id' WHEN tier = 'S' AND len({_IDS}) > 1 THEN 'multi_id_tier_s' END AS reason, CAST(len({_IDS}) AS INTEGER) AS n_ids FROM eval_golden"""
-)
+_REASON = f"""CASE WHEN coalesce(trim(query_text), '') = '' THEN 'empty_query' WHEN coalesce(tier, '') NOT IN ('S', 'C') THEN 'bad_tier' WHEN len(list_filter({_IDS}, lambda x: NOT regexp_full_match(x, '[0-9]{{13}}'))) > 0 THEN 'bad_id'
+  WHEN len(list_distinct({_IDS})) < len({_IDS}) THEN 'duplicate_id' WHEN tier = 'S' AND len({_IDS}) > 1 THEN 'multi_id_tier_s' END"""
+
+
+@query(f"SELECT item_id, {_REASON} AS reason, CAST(len({_IDS}) AS INTEGER) AS n_ids FROM eval_golden")
 def golden_parse(spark: SparkSession, folder: str) -> DataFrame:
     g = table(spark, folder, "eval_golden")
     return g.select("item_id", ev.golden_reason(F.col("query_text"), F.col("expected_sstid"), F.col("tier")).alias("reason"), F.size(ev.split_ids(F.coalesce("expected_sstid", F.lit("")))).alias("n_ids"))
@@ -53,15 +54,48 @@ def semi_anti_membership(spark: SparkSession, folder: str) -> DataFrame:
     return expected_buckets(spark, folder)
 
 
+_BUCKETS = ("usable", "gone", "quarantined", "out_of_index")
+_GOLDEN_ROWS = f"""{_BUCKET}, gr AS (SELECT item_id, item_id::VARCHAR AS query, tier, notes, reason, {", ".join(f"coalesce(list(sstid ORDER BY pos) FILTER (bucket = '{b}'), []) AS {b}" for b in _BUCKETS)}
+  FROM (SELECT item_id, tier, notes, {_REASON} AS reason, unnest({_IDS}) AS sstid, unnest(range(len({_IDS}))) AS pos FROM eval_golden) LEFT JOIN bucket USING (sstid) GROUP BY item_id, tier, notes, reason)"""
+_STATE = "CASE WHEN reason IS NOT NULL THEN 'invalid' WHEN len(usable) > 0 THEN 'evaluated' WHEN len(gone) > 0 THEN 'missing_from_catalog' WHEN len(out_of_index) > 0 THEN 'not_in_index' ELSE 'quarantined_only' END"
+
+
+def golden_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """``(query, tier, notes, reason, state, usable, gone, quarantined, out_of_index)`` of every item: its expected IDs by what the catalog has of them, and
+    whether it can be evaluated or why not."""
+    g = table(spark, folder, "eval_golden")
+    ids = ev.split_ids(F.coalesce("expected_sstid", F.lit("")))
+    rows = g.select(F.col("item_id").cast("string").alias("query"), "tier", "notes", ev.golden_reason(F.col("query_text"), F.col("expected_sstid"), F.col("tier")).alias("reason"), ids.alias("ids"))
+    each = rows.select("query", F.posexplode("ids").alias("pos", "sstid")).join(expected_buckets(spark, folder), "sstid", "left")
+    held = each.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("pos", "sstid", "bucket"))).alias("x"))  # the IDs of one item
+    of = lambda b: F.transform(F.filter("x", lambda i: i["bucket"] == b), lambda i: i["sstid"]).alias(b)
+    out = rows.drop("ids").join(held, "query").select("query", "tier", "notes", "reason", *map(of, _BUCKETS))
+    state = F.when(F.col("reason").isNotNull(), "invalid").when(F.size("usable") > 0, "evaluated").when(F.size("gone") > 0, "missing_from_catalog").when(F.size("out_of_index") > 0, "not_in_index")
+    return out.withColumn("state", state.otherwise("quarantined_only"))
+
+
+@query(f"WITH {classified_sql(_BOTH)}, {_GOLDEN_ROWS} SELECT query, {_STATE} AS state, reason, " + ", ".join(f"array_to_string({b}, ';') AS {b}" for b in _BUCKETS) + " FROM gr")
+def golden_buckets(spark: SparkSession, folder: str) -> DataFrame:
+    """What becomes of every evaluation item, and which of its IDs are missing, quarantined or not in the index."""
+    return golden_rows(spark, folder).select("query", "state", "reason", *(F.array_join(b, ";").alias(b) for b in _BUCKETS))
+
+
+@query(f"WITH {classified_sql(_BOTH)}, {_GOLDEN_ROWS}, s AS (SELECT {_STATE} AS state FROM gr) SELECT k.state, count(s.state) AS n FROM (SELECT unnest(['invalid', 'evaluated', 'missing_from_catalog', 'not_in_index', 'quarantined_only']) AS state) k LEFT JOIN s USING (state) GROUP BY k.state")
+def golden_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """How many items are evaluated, and how many are not for each reason."""
+    states = spark.createDataFrame([(s,) for s in ("invalid", "evaluated", "missing_from_catalog", "not_in_index", "quarantined_only")], "state string")
+    return states.join(golden_rows(spark, folder).select("state", F.lit(1).alias("one")), "state", "left").groupBy("state").agg(F.count("one").alias("n"))
+
+
 def golden_ranks(spark: SparkSession, folder: str) -> DataFrame:
-    """``(query, tier, notes, rank)``: the first place at which an expected ID was found."""
-    q = golden_queries(spark, folder)
+    """``(query, tier, notes, rank)`` of the items that can be evaluated: the first place at which one of their usable IDs was found."""
+    q = golden_rows(spark, folder).where("state = 'evaluated'")
     found = golden_ranking(spark, folder).groupBy("query").agg(F.sort_array(F.collect_list(F.struct("rank", "sstid"))).alias("r"))  # at most K an item
     joined = q.join(found, "query", "left")
-    return joined.select("query", "tier", "notes", ev.rank_of_any(F.transform("r", lambda x: x["sstid"]), F.col("expected")).alias("rank"))
+    return joined.select("query", "tier", "notes", ev.rank_of_any(F.transform("r", lambda x: x["sstid"]), F.col("usable")).alias("rank"))
 
 
-_RANKS = f"{GOLDEN_RANKED}, x AS (SELECT item_id::VARCHAR AS query, tier, notes, {_IDS} AS expected FROM eval_golden), ranks AS (SELECT query, tier, notes, (SELECT min(rank) FROM r WHERE r.query = x.query AND list_contains(x.expected, r.sstid)) AS rank FROM x)"
+_RANKS = f"{GOLDEN_RANKED}, {_GOLDEN_ROWS}, ranks AS (SELECT query, tier, notes, (SELECT min(rank) FROM r WHERE r.query = gr.query AND list_contains(gr.usable, r.sstid)) AS rank FROM gr WHERE {_STATE} = 'evaluated')"
 _METRICS = "count(*) AS n, round(avg((coalesce(rank, 99) <= 1)::INT), 6) AS recall_1, round(avg((coalesce(rank, 99) <= 5)::INT), 6) AS recall_5, round(avg(coalesce(1.0 / rank, 0)), 6) AS mrr"
 
 

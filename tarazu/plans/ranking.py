@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarazu.functions import jalali
 from tarazu.functions import text as tx
 from tarazu.operators import catalog as cat
 from tarazu.operators import retrieval as bm
@@ -38,7 +39,7 @@ def golden_queries(spark: SparkSession, folder: str) -> DataFrame:
 
 def line_queries(spark: SparkSession, folder: str) -> DataFrame:
     """The stated set of lines (numbers divisible by 50) with a usable day, one row a line."""
-    lines = table(spark, folder, "demo_invoices").where((F.substring("line_id", 2, 20).try_cast("bigint") % 50 == 0) & F.col("sstt").isNotNull() & F.col("issue_date").rlike(r"\A14[0-9]{2}-[0-9]{2}-[0-9]{2}\z"))
+    lines = table(spark, folder, "demo_invoices").where((F.substring("line_id", 2, 20).try_cast("bigint") % 50 == 0) & F.col("sstt").isNotNull() & jalali.is_day(F.col("issue_date")))
     return lines.select(F.col("line_id").alias("query"), F.array_distinct(tx.tokenize(F.col("sstt"))).alias("tokens"), F.col("issue_date").alias("day"), F.col("sstid").alias("declared")).distinct()
 
 
@@ -55,7 +56,7 @@ w AS (SELECT p.doc, p.term, {_WEIGHT.replace("round(ln(1 + (n - df + 0.5) / (df
 
 
 _GOLDEN = f"q AS (SELECT item_id::VARCHAR AS query, unnest(list_distinct({tokens_sql('query_text')})) AS term FROM eval_golden)"
-_LINES = f"""ql AS (SELECT DISTINCT line_id AS query, {tokens_sql("sstt")} AS t, issue_date AS day, sstid AS declared FROM demo_invoices WHERE TRY_CAST(substr(line_id, 2) AS BIGINT) % 50 = 0 AND sstt IS NOT NULL AND regexp_full_match(issue_date, '14[0-9]{{2}}-[0-9]{{2}}-[0-9]{{2}}')),
+_LINES = f"""ql AS (SELECT DISTINCT line_id AS query, {tokens_sql("sstt")} AS t, issue_date AS day, sstid AS declared FROM demo_invoices WHERE TRY_CAST(substr(line_id, 2) AS BIGINT) % 50 = 0 AND sstt IS NOT NULL AND regexp_full_match(issue_date, '{jalali.DAY}')),
 q AS (SELECT query, unnest(list_distinct(t)) AS term FROM ql)"""
 _SCORES = "s AS (SELECT query, doc, round(sum(w), 6) AS score FROM q JOIN w USING (term) GROUP BY query, doc)"
 

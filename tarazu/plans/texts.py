@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarazu.functions import text as tx
-from tarazu.operators.workload import noise, vague_only as is_vague
+from tarazu.operators.workload import eligible_noise, noise, vague_only as is_vague
 from tarazu.plans.registry import query
 from tarazu.sources.tables import both_catalogs, table
 
@@ -85,10 +85,10 @@ def md_escape(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").select("doc_id", tx.md_escape(F.col("text")).alias("escaped"))
 
 
-@query("SELECT DISTINCT fee, format('{:,}', CAST(fee AS BIGINT)) AS shown FROM demo_invoices WHERE regexp_full_match(fee, '[0-9]{1,14}')")
+@query("WITH x AS (SELECT DISTINCT unnest([am, fee, vra]) AS number FROM demo_invoices), u AS (SELECT number, string_split(number || '.', '.') AS p FROM x WHERE regexp_full_match(number, '[0-9]{1,14}(\\.[0-9]{1,6})?')) SELECT number, format('{:,}', CAST(p[1] AS BIGINT)) || CASE WHEN rtrim(p[2], '0') <> '' THEN '.' || rtrim(p[2], '0') ELSE '' END AS shown FROM u")
 def fmt_num(spark: SparkSession, folder: str) -> DataFrame:
-    fees = table(spark, folder, "demo_invoices").where(F.col("fee").rlike(r"\A[0-9]{1,14}\z")).select("fee").distinct()
-    return fees.withColumn("shown", tx.format_number(F.col("fee")))
+    numbers = table(spark, folder, "demo_invoices").select(F.explode(F.array("am", "fee", "vra")).alias("number")).where(F.col("number").rlike(r"\A[0-9]{1,14}(?:\.[0-9]{1,6})?\z")).distinct()
+    return numbers.withColumn("shown", tx.format_number(F.col("number")))
 
 
 def _pair_key(a: str, b: str) -> str:
@@ -102,8 +102,9 @@ def pair_id(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "head_synonyms").select("catalog_term", "seller_term", F.substring(F.sha1(key), 1, 10).alias("pair_id"), direction.alias("direction"))
 
 
-@query(f"SELECT row_n, replace(replace(DescriptionOfID, 'ی', 'ي'), 'ک', 'ك') AS arabic_letters, replace(DescriptionOfID, chr(8204), '') AS no_zwnj, translate(DescriptionOfID, '0123456789', '{tx.PERSIAN_DIGITS}') AS persian_digits FROM fake_catalog")
+@query(f"SELECT row_n, replace(replace(DescriptionOfID, 'ی', 'ي'), 'ک', 'ك') AS arabic_letters, replace(DescriptionOfID, chr(8204), '') AS no_zwnj, translate(DescriptionOfID, '0123456789', '{tx.PERSIAN_DIGITS}') AS persian_digits, array_to_string(list_filter([CASE WHEN regexp_matches(DescriptionOfID, '[یک]') THEN 'arabic_letters' END, CASE WHEN contains(DescriptionOfID, chr(8204)) THEN 'no_zwnj' END, CASE WHEN regexp_matches(DescriptionOfID, '[0-9]') THEN 'persian_digits' END, CASE WHEN len(list_filter(string_split(DescriptionOfID, ' '), lambda w: length(regexp_replace(w, '[^\\p{{L}}]', '', 'g')) >= 4)) > 0 THEN 'typo' END], lambda x: x IS NOT NULL), ',') AS eligible FROM fake_catalog")
 def noise_rules(spark: SparkSession, folder: str) -> DataFrame:
-    """The three noise rules that need no chance; the fourth, typing errors, is seeded by a hash and tested on its properties."""
+    """The three noise rules that need no chance, and which rules change a title; the fourth, typing errors, is seeded by a hash and tested on its
+    properties."""
     t = table(spark, folder, "fake_catalog")
-    return t.select("row_n", *(noise(F.col("DescriptionOfID"), r).alias(r) for r in ("arabic_letters", "no_zwnj", "persian_digits")))
+    return t.select("row_n", *(noise(F.col("DescriptionOfID"), r).alias(r) for r in ("arabic_letters", "no_zwnj", "persian_digits")), F.array_join(eligible_noise(F.col("DescriptionOfID")), ",").alias("eligible"))

@@ -197,20 +197,43 @@ def stratified_pool(spark: SparkSession, folder: str) -> DataFrame:
 QUOTA = 10
 
 
-@query(f"WITH {classified_sql(_BOTH)}, {_POOL}, {derived_sql('(SELECT a.* FROM act a JOIN pool USING (row_n))')}, qq AS (SELECT cell, row_n, {query_sql(1)} AS q FROM dv JOIN pool USING (row_n)), f AS (SELECT q, min((cell, row_n)) AS f FROM qq GROUP BY q) SELECT f[1] AS cell, f[2] AS row_n, q AS query, CAST(row_number() OVER (PARTITION BY f[1] ORDER BY f[2]) AS INTEGER) AS place FROM f QUALIFY place <= {QUOTA}")
+def _walk_sql(rows: str) -> str:
+    """Cells in order; of each its distinct queries by their first row, less those accepted before, up to the quota: ``walked(cell, row_n, q, place)`` of a
+    table ``(cell, row_n, q)``."""
+    return f"""fq AS (SELECT cell, min(row_n) AS row_n, q FROM {rows} WHERE q IS NOT NULL GROUP BY cell, q),
+cl AS (SELECT cell, row_number() OVER (ORDER BY cell) AS i, list({{'row_n': row_n, 'q': q}} ORDER BY row_n, q) AS own FROM fq GROUP BY cell),
+walk AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS used, CAST(NULL AS VARCHAR) AS cell, CAST([] AS STRUCT(row_n BIGINT, q VARCHAR)[]) AS got
+  UNION ALL SELECT i, list_concat(used, list_transform(got, lambda x: x.q)), cell, got FROM (SELECT cl.i, w.used, cl.cell, list_filter(cl.own, lambda x: NOT list_contains(w.used, x.q))[1:{QUOTA}] AS got FROM walk w JOIN cl ON cl.i = w.i + 1)),
+walked AS (SELECT cell, g.row_n AS row_n, g.q AS q, CAST(place AS INTEGER) AS place FROM (SELECT cell, unnest(got) AS g, unnest(range(1, len(got) + 1)) AS place FROM walk))"""
+
+
+@query(f"WITH RECURSIVE {classified_sql(_BOTH)}, {_POOL}, {derived_sql('(SELECT a.* FROM act a JOIN pool USING (row_n))')}, qq AS (SELECT cell, row_n, {query_sql(1)} AS q FROM dv JOIN pool USING (row_n)), {_walk_sql('qq')} SELECT cell, row_n, q AS query, place FROM walked")
 def quota_emit(spark: SparkSession, folder: str) -> DataFrame:
     """The first accepted queries of each cell until its quota; a query of an earlier cell is a duplicate."""
     q = pool(spark, folder).withColumn("d", wl.derive(F.col("DescriptionOfID"), F.col("Type"))).select("cell", "row_n", F.lit(QUOTA).alias("quota"), wl.build_query(F.col("d"), 1).alias("query"))
     return wl.emit_until(q, "cell", "quota", "query", "row_n")
 
 
-@query()
+PLACES, FLOOR = 300, 5
+
+
+#: Cells below their floor are fixed step by step, then the largest remainder rounds.
+@query(
+    f"""WITH RECURSIVE {classified_sql(_BOTH)}, sz AS (SELECT coalesce(Type, '') AS cell, CAST(least(len({tokens_sql('DescriptionOfID')}), 12) AS INTEGER) AS length, count(*) AS size FROM act WHERE {_IN_FORCE} AND DescriptionOfID IS NOT NULL GROUP BY ALL),
+st AS (SELECT 0 AS step, list({{'cell': cell, 'length': length, 'size': size, 'fix': CAST(NULL AS BIGINT)}} ORDER BY cell, length) AS cs, least({PLACES}, CAST(sum(size) AS BIGINT)) AS total, TRUE AS more FROM sz
+  UNION ALL SELECT step + 1, new, total, new <> cs FROM (SELECT step, cs, total, list_transform(cs, lambda x: {{'cell': x.cell, 'length': x.length, 'size': x.size, 'fix': CASE WHEN x.fix IS NULL AND budget * x.size < least({FLOOR}, x.size) * whole THEN least({FLOOR}, x.size) ELSE x.fix END}}) AS new
+    FROM (SELECT *, total - coalesce(list_sum(list_transform(cs, lambda x: coalesce(x.fix, 0))), 0) AS budget, list_sum(list_transform(cs, lambda x: CASE WHEN x.fix IS NULL THEN x.size ELSE 0 END)) AS whole FROM st WHERE more))),
+cq AS (SELECT x.cell AS cell, x.length AS length, x.size AS size, x.fix AS fix, total FROM (SELECT unnest(cs) AS x, total FROM st ORDER BY step DESC LIMIT (SELECT count(*) FROM sz))),
+e AS (SELECT *, CAST(total - coalesce(sum(fix) OVER (), 0) AS BIGINT) AS budget, CAST(sum(CASE WHEN fix IS NULL THEN size END) OVER () AS BIGINT) AS whole FROM cq),
+r AS (SELECT *, coalesce(fix, budget * size // whole) AS base, row_number() OVER (ORDER BY fix IS NOT NULL, -(budget * size % whole), cell, length) AS place FROM e)
+SELECT cell, length, size, CAST(base + CASE WHEN fix IS NULL AND place <= total - (SELECT sum(base) FROM r) THEN 1 ELSE 0 END AS BIGINT) AS places FROM r"""
+)
 def quota_allocate(spark: SparkSession, folder: str) -> DataFrame:
-    """300 places over the cells (type, length) by largest remainder; an iteration over a table of cells, tested on its properties."""
+    """Places over the cells (type, length) by largest remainder with a floor; an iteration over a table of cells."""
     rows = cat.active(classified(spark, folder, both=True)).where(cat.in_force(AS_OF) & F.col("DescriptionOfID").isNotNull())
     sizes = rows.groupBy(F.coalesce("Type", F.lit("")).alias("cell"), F.least(F.size(tx.tokenize(F.col("DescriptionOfID"))), F.lit(12)).alias("length")).agg(F.count(F.lit(1)).alias("size"))
     held = {(r.cell, r.length): r.size for r in sizes.collect()}  # types x 12
-    got = wl.allocate(held, 300, 5)
+    got = wl.allocate(held, PLACES, FLOOR)
     return spark.createDataFrame([(c, n, held[c, n], got[c, n]) for c, n in sorted(held)], "cell string, length int, size long, places long")
 
 
@@ -369,11 +392,10 @@ MOST = 20  # IDs that a query may mean
 
 
 @query(
-    f"""WITH {classified_sql(_BOTH)}, {_TITLES}, {_POOL}, {derived_sql('(SELECT a.* FROM act a JOIN pool USING (row_n))')}, qq AS (SELECT cell, row_n, {query_sql(1)} AS q FROM dv JOIN pool USING (row_n)),
+    f"""WITH RECURSIVE {classified_sql(_BOTH)}, {_TITLES}, {_POOL}, {derived_sql('(SELECT a.* FROM act a JOIN pool USING (row_n))')}, qq AS (SELECT cell, row_n, {query_sql(1)} AS q FROM dv JOIN pool USING (row_n)),
 m AS (SELECT q, (SELECT count(DISTINCT ID) FROM tt WHERE len(w) > 0 AND list_has_all(t, w)) AS n_ids FROM (SELECT DISTINCT q, list_distinct({tokens_sql('q')}) AS w FROM qq)),
-ok AS (SELECT q, min((cell, row_n)) AS f, any_value(n_ids) AS n_ids FROM qq JOIN m USING (q) WHERE n_ids BETWEEN 1 AND {MOST} GROUP BY q),
-e AS (SELECT f[1] AS cell, f[2] AS row_n, q, n_ids, CAST(row_number() OVER (PARTITION BY f[1] ORDER BY f[2]) AS INTEGER) AS place FROM ok QUALIFY place <= {QUOTA})
-SELECT cell, row_n, place, n_ids, CASE WHEN n_ids = 1 THEN 'S' ELSE 'C' END AS tier, CASE WHEN place % 5 = 0 THEN replace(replace(q, 'ی', 'ي'), 'ک', 'ك') ELSE q END AS query FROM e"""
+ok AS (SELECT cell, row_n, q FROM qq JOIN m USING (q) WHERE n_ids BETWEEN 1 AND {MOST}), {_walk_sql('ok')}
+SELECT cell, row_n, place, n_ids, CASE WHEN n_ids = 1 THEN 'S' ELSE 'C' END AS tier, CASE WHEN place % 5 = 0 THEN replace(replace(q, 'ی', 'ي'), 'ک', 'ك') ELSE q END AS query FROM walked JOIN m USING (q)"""
 )
 def silver_v1(spark: SparkSession, folder: str) -> DataFrame:
     """Queries of every cell until its quota: accepted if they mean at most ``MOST`` IDs and no earlier cell has them; every fifth with
