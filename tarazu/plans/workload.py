@@ -253,13 +253,29 @@ def token_subset_match(spark: SparkSession, folder: str) -> DataFrame:
     return wl.subset_matches(t, "ID", "tokens", q, "row_n", "wanted")
 
 
-@query(f"WITH {classified_sql(_BOTH)}, {_TITLES}, qs AS (SELECT row_n, ID, {tokens_sql('DescriptionOfID')} AS full_t, {tokens_sql("regexp_replace(DescriptionOfID, '/.*$', '')")} AS short_t FROM act WHERE {_IN_FORCE} AND row_n % 50 = 0 AND DescriptionOfID IS NOT NULL), n AS (SELECT row_n, (SELECT count(DISTINCT ID) FROM tt WHERE len(short_t) > 0 AND list_has_all(t, short_t)) AS s, (SELECT count(DISTINCT ID) FROM tt WHERE len(full_t) > 0 AND list_has_all(t, full_t)) AS f FROM qs) SELECT CASE WHEN s = 1 THEN 'unique' WHEN f = 1 THEN 'unique_with_maker' ELSE 'ambiguous' END AS category, count(*) AS n FROM n GROUP BY 1")
+_CATEGORIES = {
+    "unique_with_all_attrs": "a", "needs_mfr_or_partno": "NOT a AND (m OR p)", "unique_under_none": "NOT a AND NOT m AND NOT p", "mfr_only": "NOT a AND m AND NOT p", "partno_only": "NOT a AND p AND NOT m",
+    "either": "NOT a AND m AND p", "has_mfr": "has_m", "has_partno": "has_p",
+}
+
+
+@query(
+    f"""WITH {_HEADS}, t1 AS MATERIALIZED (SELECT row_n, ID, head, brand, attrs, trim(regexp_replace(DescriptionOfID, '{_WS}', ' ', 'g')) AS flat, coalesce(Type LIKE '%{wl.SERVICE}', false) AS service, {tokens_sql('DescriptionOfID')} AS t FROM hd WHERE regexp_full_match(ID, '[0-9]{{13}}')),
+t2 AS (SELECT *, list_transform(CASE WHEN service THEN string_split(flat, '/') ELSE string_split(flat, '،') END, lambda s: trim(s)) AS parts, array_to_string(list_filter(list_concat([head, brand], attrs), lambda x: x IS NOT NULL), ' ') AS base FROM t1),
+t3 AS (SELECT *, array_to_string(list_filter(parts, lambda s: {_startswith_sql('s', wl.MAKER_STARTS)}), ' ') AS named, array_to_string(list_filter(parts, lambda s: {_startswith_sql('s', wl.PART_NUMBER_STARTS)}), ' ') AS part FROM t2),
+t4 AS (SELECT *, CASE WHEN named <> '' THEN named ELSE regexp_extract(flat, '/\\s*(شرکت[^/]*)\\z', 1) END AS maker FROM t3),
+asked AS (SELECT row_n, base AS a, CASE WHEN maker <> '' THEN base || ' ' || maker END AS m, CASE WHEN part <> '' THEN base || ' ' || part END AS p FROM t4),
+qs AS MATERIALIZED (SELECT query, list_distinct({tokens_sql('query')}) AS w FROM (SELECT a AS query FROM asked UNION SELECT m FROM asked UNION SELECT p FROM asked) WHERE query IS NOT NULL),
+n AS MATERIALIZED (SELECT query, count(DISTINCT ID) = 1 AS one FROM qs JOIN t1 ON len(w) > 0 AND list_has_all(t, w) GROUP BY query),
+r AS (SELECT coalesce(x.one, false) AS a, coalesce(y.one, false) AS m, coalesce(z.one, false) AS p, m IS NOT NULL AS has_m, p IS NOT NULL AS has_p FROM asked LEFT JOIN n x ON x.query = a LEFT JOIN n y ON y.query = m LEFT JOIN n z ON z.query = p)
+SELECT category, n, round(n / nullif(total, 0), 4) AS share FROM (SELECT unnest([{", ".join(f"'{k}'" for k in _CATEGORIES)}]) AS category, unnest([{", ".join(f"count(*) FILTER ({c})" for c in _CATEGORIES.values())}]) AS n, count(*) AS total FROM r)"""
+)
 def ambiguity_categories(spark: SparkSession, folder: str) -> DataFrame:
     """What a title in force needs to name one ID among all: head, brand and all attributes, the maker or part number too, or more.
 
     ``(category, n, share)``: ``unique_with_all_attrs``, ``needs_mfr_or_partno`` and ``unique_under_none`` of all titles; the second split into
     ``mfr_only``, ``partno_only`` and ``either``; and the titles that have a maker (``has_mfr``) or part number (``has_partno``).  Shares are of
-    all titles, null without any.  The SQL states an earlier form of this query.
+    all titles, null without any.
     """
     h = stage_table(heads(spark, folder).where(is_id(F.col("ID"))).select("row_n", "ID", "d", "DescriptionOfID", "Type", tx.tokenize(F.col("DescriptionOfID")).alias("tokens")), "ambiguity_titles")
     asked = stage_table(h.select("row_n", wl.detail_queries(F.col("DescriptionOfID"), F.col("Type"), F.col("d")).alias("q")).select("row_n", "q.*"), "ambiguity_queries")
@@ -328,20 +344,57 @@ def set_union_all(spark: SparkSession, folder: str) -> DataFrame:
     return g.where("tier = 'S'").unionByName(g.where("tier = 'C'")).unionByName(g.select(F.lit("combined").alias("tier"))).groupBy("tier").agg(F.count(F.lit(1)).alias("n"))
 
 
-_EXACT = "CAST(CAST(am AS DECIMAL(20,6)) AS DECIMAL(14,2)) * CAST(fee AS DECIMAL(14,0)) * CAST(CAST(vra AS DECIMAL(9,4)) AS DECIMAL(8,2))"
+def _units_sql(c: str, scale: int) -> str:
+    """A plain number in units of its last place, as a whole number."""
+    return f"CAST(string_split({c} || '.', '.')[1] || rpad(string_split({c} || '.', '.')[2], {scale}, '0') AS HUGEINT)"
 
 
-@query(f"WITH v AS (SELECT DISTINCT line_id, CAST(CAST({_EXACT} AS DECIMAL(34,4)) * 10000 AS HUGEINT) AS x FROM demo_invoices WHERE regexp_full_match(am, '[0-9]{{1,6}}(\\.[0-9]{{1,2}})?') AND regexp_full_match(fee, '[0-9]{{1,12}}') AND regexp_full_match(vra, '[0-9]{{1,4}}(\\.[0-9]{{1,2}})?')) SELECT line_id, CAST((x + 500000) // 1000000 AS DOUBLE) AS half_up, CAST(x // 1000000 AS DOUBLE) AS down, CAST((x + 999999) // 1000000 AS DOUBLE) AS up FROM v")
+#: The product is made of two parts, as it can have more digits than a whole number holds: with the fee's last ten digits and with those before.
+@query(
+    f"""WITH v AS (SELECT DISTINCT line_id, {_units_sql('am', 6)} * {_units_sql('vra', 4)} AS av, {_units_sql('fee', 6)} AS f FROM demo_invoices
+  WHERE regexp_full_match(am, '[0-9]{{1,14}}(\\.[0-9]{{1,6}})?') AND regexp_full_match(fee, '[0-9]{{1,14}}(\\.[0-9]{{1,6}})?') AND regexp_full_match(vra, '[0-9]{{1,5}}(\\.[0-9]{{1,4}})?')),
+p AS (SELECT line_id, av * (f // 10000000000) AS hi, av * (f % 10000000000) AS lo FROM v), h AS (SELECT line_id, hi + lo // 10000000000 AS h, lo % 10000000000 AS r FROM p),
+x AS (SELECT line_id, h // 100000000 AS q, (h % 100000000) * 10000000000 + r AS rest FROM h)
+SELECT line_id, CAST(q + CASE WHEN rest >= 500000000000000000 THEN 1 ELSE 0 END AS DOUBLE) AS half_up, CAST(q AS DOUBLE) AS down, CAST(q + CASE WHEN rest > 0 THEN 1 ELSE 0 END AS DOUBLE) AS up FROM x"""
+)
 def rounding_modes(spark: SparkSession, folder: str) -> DataFrame:
     """A product of exact decimals divided by 100, rounded half up, down and up to a whole number, of all lines with a usable ``am``, ``fee``
-    and ``vra``; those that have none are in ``line_parse``.  The SQL takes only numbers whose product fits its types, so it has fewer lines."""
+    and ``vra``; those that have none are in ``line_parse``."""
     n = line_numbers()
     lines = table(spark, folder, "demo_invoices").select("line_id", *(n[c].alias(c) for c in ("am", "fee", "vra"))).where("am IS NOT NULL AND fee IS NOT NULL AND vra IS NOT NULL")
     r = lines.select("line_id", percent_of(F.col("am"), F.col("fee"), F.col("vra")).alias("r"))
     return r.select("line_id", *(F.col(f"r.{c}").cast("double").alias(c) for c in ("half_up", "down", "up"))).distinct()
 
 
-@query(f"WITH {_LADDER}, {_TITLES}, g AS (SELECT term_n, level, array_to_string(q, ' ') AS query, any_value(q) AS q, min(row_n) AS row_n FROM ld WHERE row_n % 50 = 0 GROUP BY ALL) SELECT CAST(term_n AS INTEGER) AS term_n, level, query, row_n, (SELECT count(DISTINCT ID) FROM tt WHERE len(g.q) > 0 AND list_has_all(t, g.q)) AS n_seller, (SELECT count(DISTINCT ID) FROM tt, terms WHERE terms.term_n = g.term_n AND list_has_all(t, list_concat(terms.term, g.q[len(terms.seller) + 1:]))) AS n_catalog FROM g")
+MOST = 20  # IDs that a query may mean
+_JOINED = lambda c: f"array_to_string({c}, ' ')"
+_PADDED = lambda c: f"concat(' ', array_to_string({c}, ' '), ' ')"
+
+
+def _tried_sql(n: int, when: str) -> str:
+    head = f"trim(concat(substr(whole, 1, strpos(whole, found)), {_JOINED('seller')}, substr(whole, strpos(whole, found) + length(found) - 1)))"
+    return f"SELECT term_n, row_n, least({n}, len(attrs)) AS n, (SELECT {query_sql(n)} FROM (SELECT {_JOINED('h')} AS head)) AS catalog, (SELECT {query_sql(n)} FROM (SELECT {head} AS head)) AS query FROM picked WHERE {when}"
+
+
+@query(
+    f"""WITH {_HEADS}, {_TERMS}, hm AS MATERIALIZED (SELECT row_n, ID, h, brand, attrs, list_distinct({tokens_sql('DescriptionOfID')}) AS t FROM hd),
+listed AS MATERIALIZED (SELECT *, len(term) > 0 AND len(seller) > 0 AND term <> seller AS fine FROM terms), pairs AS (SELECT * FROM listed WHERE fine),
+own AS (SELECT row_n, arg_min(term, (-len(term), term_n)) AS term FROM hm, pairs WHERE contains({_PADDED('h')}, {_PADDED('term')}) GROUP BY row_n),
+members AS MATERIALIZED (SELECT hm.*, pairs.term_n, pairs.term, pairs.seller, {_PADDED('h')} AS whole, {_PADDED('pairs.term')} AS found FROM hm JOIN own USING (row_n) JOIN pairs ON pairs.term = own.term),
+picked AS MATERIALIZED (SELECT * FROM members WHERE ID IN (SELECT ID FROM hm GROUP BY ID HAVING count(*) = 1) QUALIFY row_number() OVER (PARTITION BY term_n ORDER BY md5(concat(row_n, '|', term_n)), row_n) <= {PER_PAIR}),
+cand AS MATERIALIZED ({_tried_sql(1, 'true')} UNION ALL {_tried_sql(2, 'len(attrs) > 1')}),
+texts AS MATERIALIZED (SELECT text, list_distinct({tokens_sql('text')}) AS w FROM (SELECT catalog AS text FROM cand UNION SELECT query FROM cand)),
+ids AS MATERIALIZED (SELECT DISTINCT text, ID FROM texts JOIN hm ON len(w) > 0 AND list_has_all(t, w)),
+sides AS (SELECT DISTINCT catalog, query FROM cand), met AS (SELECT catalog, query, ID, 1 AS c, 0 AS s FROM sides JOIN ids ON text = catalog UNION ALL SELECT catalog, query, ID, 0, 1 FROM sides JOIN ids ON text = query),
+counted AS (SELECT catalog, query, count(DISTINCT ID) AS n_label, count(DISTINCT ID) FILTER (s = 1) AS n_seller, count(DISTINCT ID) FILTER (c = 1) AS n_catalog FROM met GROUP BY ALL),
+best AS (SELECT term_n, row_n, n, query, coalesce(n_seller, 0) AS n_seller, coalesce(n_catalog, 0) AS n_catalog, coalesce(n_label, 0) AS n_label FROM cand LEFT JOIN counted USING (catalog, query)
+  QUALIFY row_number() OVER (PARTITION BY term_n, row_n ORDER BY CASE WHEN coalesce(n_label, 0) = 1 THEN n ELSE 10 - n END) = 1),
+main AS (SELECT term_n, 'A' || n AS level, query, row_n, n_seller, n_catalog, n_label, CASE WHEN n_label > {MOST} THEN 'over_max' WHEN row_number() OVER (PARTITION BY query, n_label > {MOST} ORDER BY term_n, row_n) > 1 THEN 'duplicate' ELSE 'emitted' END AS verdict FROM best),
+cls AS (SELECT term_n, ID, 1 AS c, 0 AS s FROM members UNION ALL SELECT term_n, ID, 0, 1 FROM hm JOIN pairs ON h[1:len(seller)] = seller),
+cn AS (SELECT term_n, count(DISTINCT ID) AS n_label, count(DISTINCT ID) FILTER (s = 1) AS n_seller, count(DISTINCT ID) FILTER (c = 1) AS n_catalog FROM cls GROUP BY term_n),
+bare AS (SELECT term_n, 'head' AS level, {_JOINED('seller')} AS query, NULL AS row_n, coalesce(n_seller, 0) AS n_seller, coalesce(n_catalog, 0) AS n_catalog, coalesce(n_label, 0) AS n_label, CASE WHEN NOT fine THEN 'invalid' WHEN coalesce(n_catalog, 0) = 0 THEN 'zero_coverage' ELSE 'emitted' END AS verdict FROM listed LEFT JOIN cn USING (term_n))
+SELECT CAST(term_n AS INTEGER) AS term_n, level, query, row_n, n_seller, n_catalog, n_label, verdict, CASE WHEN verdict = 'emitted' THEN CASE WHEN n_label = 1 THEN 'S' ELSE 'C' END END AS tier FROM (SELECT * FROM main UNION ALL SELECT * FROM bare)"""
+)
 def silver_v2(spark: SparkSession, folder: str) -> DataFrame:
     """Queries in the sellers' words, up to ten rows of each pair and its bare term.
 
@@ -349,8 +402,7 @@ def silver_v2(spark: SparkSession, folder: str) -> DataFrame:
     the pair's term, the term replaced; one attribute is tried before two, and kept if it means one ID.  It may mean the IDs with
     all of its words as the seller or as the catalog writes it (``n_label``).  Level ``head``: the sellers' term alone, for every pair; the IDs
     whose head is the pair's or begins with the sellers' term.  ``verdict``: ``emitted``, ``over_max``, ``duplicate``, ``zero_coverage`` (no
-    head holds the term) or ``invalid`` (a term is empty or both are alike); ``tier`` is null for all but the first.  The SQL states an
-    earlier form of this query.
+    head holds the term) or ``invalid`` (a term is empty or both are alike); ``tier`` is null for all but the first.
     """
     # Read several times below.
     h, t = stage_table(heads(spark, folder).select("row_n", "ID", "d", "head_tokens", tx.tokenize(F.col("DescriptionOfID")).alias("tokens")), "silver_v2_heads"), terms(spark, folder)
@@ -360,7 +412,7 @@ def silver_v2(spark: SparkSession, folder: str) -> DataFrame:
     of = wl.assign_terms(h, "row_n", "head_tokens", pairs, "contains").select("row_n", "term")
     members = h.join(of, "row_n").join(F.broadcast(pairs), "term")
     single = h.groupBy("ID").agg(F.count(F.lit(1)).alias("n")).where("n = 1")
-    picked = wl.stratified(members.join(single, "ID", "left_semi"), ["term_n"], [F.xxhash64("row_n", "term_n"), F.col("row_n")], PER_PAIR)
+    picked = wl.stratified(members.join(single, "ID", "left_semi"), ["term_n"], [F.md5(F.concat_ws("|", "row_n", "term_n")), F.col("row_n")], PER_PAIR)
     written = lambda head, n: wl.build_query(F.struct(head.alias("head"), F.col("d.brand").alias("brand"), F.col("d.attrs").alias("attrs")), n)
     sub = wl.replace_run(F.col("head_tokens"), F.col("term"), F.col("seller"))
     step = lambda n: F.struct(F.least(F.lit(n), F.size("d.attrs")).alias("n"), written(F.array_join("head_tokens", " "), n).alias("catalog"), written(sub, n).alias("query"))
@@ -388,8 +440,6 @@ def silver_v2(spark: SparkSession, folder: str) -> DataFrame:
     return main.unionByName(bare).withColumn("tier", F.when(F.col("verdict") == "emitted", F.when(F.col("n_label") == 1, "S").otherwise("C")))
 
 
-MOST = 20  # IDs that a query may mean
-
 
 @query(
     f"""WITH RECURSIVE {classified_sql(_BOTH)}, {_TITLES}, {_POOL}, {derived_sql('(SELECT a.* FROM act a JOIN pool USING (row_n))')}, qq AS (SELECT cell, row_n, {query_sql(1)} AS q FROM dv JOIN pool USING (row_n)),
