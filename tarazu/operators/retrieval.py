@@ -1,17 +1,17 @@
-"""Okapi BM25 over an inverted index that is partitioned by document.
+"""Okapi BM25 over a stored inverted index that is partitioned by document.
 
-The postings of a document stay where the document is read: each task scores its own documents for a block of queries, keeps the best ``k`` of
-each and sends only those, so what is shuffled is k rows a query and task instead of a row for each matching pair.  The corpus statistics
+The postings of a document stay where the document is read: the index is written once, in shards; each task scores its own shards for a block of
+queries, touching only the terms they ask for, keeps the best ``k`` of each query and sends only those, so what is shuffled is k rows a query and task instead of a row for each matching pair.  The corpus statistics
 (documents, lengths, document frequencies) are computed over all documents by partial aggregates.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -58,9 +58,32 @@ def index_terms(docs: DataFrame, doc: str, tokens: str = "tokens") -> DataFrame:
     return by.select("term", "df", "n_occurrences", idf(F.col("n"), F.col("df")).alias("idf"), F.col("w").alias("max_weight"))
 
 
-def _score_block(docs: DataFrame, queries: list, n_docs: int, avgdl: float, df: dict[str, int], k: int, by_id: bool, dated: bool, declared: bool, counted: bool) -> DataFrame:
+_INDEX = "doc array<long>, sstid array<string>, valid_from array<string>, valid_to array<string>, dl array<int>, terms array<string>, counts array<int>, at array<int>, tf array<int>"
+
+
+def build_index(docs: DataFrame) -> DataFrame:
+    """The inverted index of documents ``(doc, sstid, tokens, valid_from, valid_to)``, in shards of up to ``DOC_BLOCK`` of them: a row holds its documents, and
+    of every term in them the places of the documents that have it and how often.  Nothing is shuffled; write it once and search it as often as
+    there are queries."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            shards = []
+            for lo in range(0, len(batch), DOC_BLOCK):
+                part = batch.iloc[lo : lo + DOC_BLOCK]
+                lengths = np.array([len(t) for t in part["tokens"]], np.int64)
+                code, term = pd.factorize(np.concatenate([np.asarray(t, object) for t in part["tokens"]]) if lengths.sum() else np.empty(0, object))
+                pair, tf = np.unique(code.astype(np.int64) * len(part) + np.repeat(np.arange(len(part)), lengths), return_counts=True)
+                counts = np.bincount(pair // len(part), minlength=len(term))
+                shards.append((part["doc"].tolist(), part["sstid"].tolist(), part["valid_from"].tolist(), part["valid_to"].tolist(), lengths.tolist(), list(term), counts.tolist(), (pair % len(part)).tolist(), tf.tolist()))
+            yield pd.DataFrame(shards, columns=[c.split(" ")[0] for c in _INDEX.split(", ")])
+
+    return docs.select("doc", "sstid", "tokens", "valid_from", "valid_to").mapInPandas(run, _INDEX)
+
+
+def _score_block(index: DataFrame, queries: list, n_docs: int, avgdl: float, df: dict[str, int], k: int, by_id: bool, dated: bool, declared: bool, counted: bool) -> tuple[DataFrame, Broadcast]:
     """Rows ``(query, kind, doc, sstid, score)``: the best k of each query in each task (kind ``top``), the best document of the query's
-    declared ID (``own``), and the number of documents with a score (``count``, in ``doc``)."""
+    declared ID (``own``), and the number of documents with a score (``count``, in ``doc``); and what was shipped for them."""
     terms: dict[str, list[int]] = {}
     for n, q in enumerate(queries):
         for t in dict.fromkeys(q.tokens):
@@ -72,7 +95,7 @@ def _score_block(docs: DataFrame, queries: list, n_docs: int, avgdl: float, df:
     names = [q.query for q in queries]
     days = np.array([q.day if dated else "" for q in queries], dtype=object)
     own_ids = {i: [n for n, q in enumerate(queries) if q.declared == i] for i in {q.declared for q in queries}} if declared else {}
-    shipped = docs.sparkSession.sparkContext.broadcast((terms, idf_of, order, names, days, own_ids))
+    shipped = index.sparkSession.sparkContext.broadcast((terms, idf_of, order, names, days, own_ids))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         terms, idf_of, order, names, days, own_ids = shipped.value
@@ -86,25 +109,21 @@ def _score_block(docs: DataFrame, queries: list, n_docs: int, avgdl: float, df:
                 best[n], floor[n] = dict(keep), keep[-1][1][0]
 
         for batch in batches:
-            for lo in range(0, len(batch), DOC_BLOCK):
-                part = batch.iloc[lo : lo + DOC_BLOCK]
-                lists: dict[str, tuple[list[int], list[float]]] = {}
-                for d, tokens in enumerate(part["tokens"]):
-                    dl = len(tokens)
-                    for t, tf in Counter(x for x in tokens if x in terms).items():
-                        at, w = lists.setdefault(t, ([], []))
-                        at.append(d)
-                        w.append(tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl)))
-                touched: dict[int, list[str]] = {}
-                for t in sorted(lists, key=order.get):
+            for part in batch.itertuples(index=False):
+                ends, dl = np.cumsum(part.counts), np.asarray(part.dl)
+                arrays, touched = {}, {}
+                here = [(t, j) for j, t in enumerate(part.terms) if t in terms]
+                for t, j in sorted(here, key=lambda x: order[x[0]]):
+                    own_part = slice(ends[j] - part.counts[j], ends[j])
+                    at, tf = part.at[own_part], part.tf[own_part]
+                    arrays[t] = at, tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl[at] / avgdl)) * idf_of[t]
                     for n in terms[t]:
                         touched.setdefault(n, []).append(t)
-                arrays = {t: (np.asarray(at), np.asarray(w) * idf_of[t]) for t, (at, w) in lists.items()}
-                docs_n, ids = part["doc"].to_numpy(), part["sstid"].to_numpy()
+                docs_n, ids = np.asarray(part.doc), np.asarray(part.sstid, object)
                 if dated:
-                    start, end = part["valid_from"].to_numpy(), part["valid_to"].to_numpy()
+                    start, end = np.asarray(part.valid_from, object), np.asarray(part.valid_to, object)
                 for n, ts in touched.items():
-                    score = np.zeros(len(part))
+                    score = np.zeros(len(docs_n))
                     for t in ts:
                         at, w = arrays[t]
                         score[at] += w
@@ -145,7 +164,7 @@ def _score_block(docs: DataFrame, queries: list, n_docs: int, avgdl: float, df:
         yield pd.DataFrame(rows, columns=["query", "kind", "doc", "sstid", "score"])
 
     own_of = {n: i for i, ns in own_ids.items() for n in ns if i is not None}
-    return docs.mapInPandas(run, "query string, kind string, doc long, sstid string, score double")
+    return index.mapInPandas(run, "query string, kind string, doc long, sstid string, score double"), shipped
 
 
 def rank(docs: DataFrame, queries: DataFrame, k: int = 20, tie: str = "row", dated: bool = False, declared: bool = False, counted: bool = False, query_block: int = QUERY_BLOCK) -> DataFrame:
@@ -157,20 +176,26 @@ def rank(docs: DataFrame, queries: DataFrame, k: int = 20, tie: str = "row", dat
     documents, in force or not; kind ``count``: in ``doc`` the number of documents with a score.
     Queries are worked off in blocks, so their number has no bound; queries without a known term have no rows.
     """
-    stats = corpus_stats(docs).first()
+    none = F.lit(None).cast("string")
+    shown = docs.select("doc", "sstid", "tokens", F.col("valid_from") if dated else none.alias("valid_from"), F.coalesce("valid_to", F.lit("9999-99-99")).alias("valid_to") if dated else none.alias("valid_to"))
+    index = stage_table(build_index(shown), "inverted-index", compression="zstd")
+    stats = index.agg(F.sum(F.size("doc")).alias("n_docs"), F.sum(F.aggregate("dl", F.lit(0).cast("long"), lambda a, x: a + x)).alias("length")).first()
+    n_docs = stats.n_docs or 0
     need = ["query", "tokens", *(["day"] if dated else []), *(["declared"] if declared else [])]
     asked = queries.select(*need)
     total = asked.count()
     blocks = max(1, -(-total // query_block))
-    shown = docs.select("doc", "sstid", "tokens", *(["valid_from", F.coalesce("valid_to", F.lit("9999-99-99")).alias("valid_to")] if dated else []))
-    df_table = document_frequency(docs)
+    df_table = index.select(F.explode(F.arrays_zip("terms", "counts")).alias("x")).groupBy(F.col("x.terms").alias("term")).agg(F.sum("x.counts").alias("df"))
     found = None
     for n in range(blocks):
         part = asked.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == n) if blocks > 1 else asked
         held = sorted(part.collect(), key=lambda r: r.query)
         used = part.select(F.explode("tokens").alias("term")).distinct()
         df = {r.term: r.df for r in df_table.join(used, "term", "left_semi").toLocalIterator()}
-        got = _score_block(shown, held, stats.n_docs, stats.avgdl or 1.0, df, k, tie == "id", dated, declared, counted)
+        got, shipped = _score_block(index, held, n_docs, (stats.length or 0) / n_docs if n_docs and stats.length else 1.0, df, k, tie == "id", dated, declared, counted)
+        if blocks > 1:  # a block's queries leave the driver and the executors before the next block's come
+            got = stage_table(got, "ranked-block")
+            shipped.destroy()
         found = got if found is None else found.unionByName(got)
     # Read several times below and by those who use the ranking, and made by a scan of all documents: written once.  It has k rows for each
     # query and task at most.
@@ -242,13 +267,17 @@ def _draw(ids: DataFrame, held: list[tuple[str, int]], k: int) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         queries = shipped.value
+        best: dict = {name: (np.empty(0, np.uint64), np.empty(0, object)) for name, _ in queries}  # of the task so far
         for batch in batches:
             own = batch["h"].to_numpy().astype(np.uint64)
             for name, h in queries:
                 x = own ^ np.uint64(h & (1 << 64) - 1)
                 for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):  # the finalizer of splitmix64
                     x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
-                best = np.argsort(x, kind="stable")[:k]
-                yield pd.DataFrame({"query": name, "sstid": batch["sstid"].to_numpy()[best], "draw": (x[best] >> np.uint64(1)).astype(np.int64)})
+                draws, names = np.r_[best[name][0], x], np.r_[best[name][1], batch["sstid"].to_numpy(object)]
+                keep = np.argsort(draws, kind="stable")[:k]
+                best[name] = draws[keep], names[keep]
+        for name, (draws, names) in best.items():
+            yield pd.DataFrame({"query": name, "sstid": names, "draw": (draws >> np.uint64(1)).astype(np.int64)})
 
     return ids.mapInPandas(run, "query string, sstid string, draw long")

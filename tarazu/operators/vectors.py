@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tarazu.session import stage_table
+
 #: Numbers of query vectors in a block: what is shipped to the tasks at once is bounded by it.
 BLOCK_FLOATS = 8_000_000
 #: Scores are compared at this precision.
@@ -36,7 +40,10 @@ def nearest(vectors: DataFrame, key: str, vector: str, queries: DataFrame, k: in
     for b in range(blocks):
         part = asked.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b) if blocks > 1 else asked
         held = sorted(part.collect(), key=lambda r: r.q)
-        got = _block(shown, [r.q for r in held], _unit([r.v for r in held]), k, exclude_self)
+        got, shipped = _block(shown, [r.q for r in held], _unit([r.v for r in held]), k, exclude_self)
+        if blocks > 1:  # a block's queries leave the driver and the executors before the next block's come
+            got = stage_table(got, "nearest-block")
+            shipped.destroy()
         found = got if found is None else found.unionByName(got)
     order = [F.col("score").desc(), F.col("k")]
     return found.withColumn("rank", F.row_number().over(W.partitionBy("q").orderBy(*order))).where(F.col("rank") <= k).select(F.col("q").alias("query"), "rank", F.col("k").alias(key), "score")
@@ -47,7 +54,7 @@ def _unit(rows: list) -> np.ndarray:
     return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
 
 
-def _block(shown: DataFrame, names: list, q: np.ndarray, k: int, exclude_self: bool) -> DataFrame:
+def _block(shown: DataFrame, names: list, q: np.ndarray, k: int, exclude_self: bool) -> tuple[DataFrame, Broadcast]:
     kind = shown.schema["k"].dataType.simpleString()
     shipped = shown.sparkSession.sparkContext.broadcast((np.asarray(names), q))
 
@@ -72,7 +79,7 @@ def _block(shown: DataFrame, names: list, q: np.ndarray, k: int, exclude_self: b
             out = pd.DataFrame({"q": np.repeat(names, n), "k": best[1].ravel(), "score": best[0].ravel()})
             yield out[np.isfinite(out["score"])]
 
-    return shown.mapInPandas(run, f"q {kind}, k {kind}, score double")
+    return shown.mapInPandas(run, f"q {kind}, k {kind}, score double"), shipped
 
 
 def agreement(pairs: DataFrame, a: str, b: str) -> DataFrame:
@@ -139,8 +146,18 @@ class ChunkedTable:
     def fill(self, rows: DataFrame, chunk: Column, chunks: int, make: Callable[[DataFrame], DataFrame]) -> int:
         """Write the chunks that are missing; returns how many were."""
         missing = sorted(set(range(chunks)) - self.done())
-        for c in missing:
-            make(rows.where(chunk == c)).write.mode("overwrite").parquet(f"{self.path}/chunk={c}")
+        if not missing:
+            return 0
+        # The rows of all missing chunks are read once and laid apart, so that a chunk's turn reads its own rows only.
+        work = f"{self.path}/.work-{uuid.uuid4().hex}"
+        try:
+            rows.withColumn("__chunk", chunk.cast("int")).where(F.col("__chunk").isin(missing)).write.partitionBy("__chunk").parquet(work)
+            for c in missing:
+                own = f"{work}/__chunk={c}"
+                part = self.spark.read.schema(rows.schema).parquet(own) if self._fs.exists(self._path(own)) else rows.limit(0)
+                make(part).write.mode("overwrite").parquet(f"{self.path}/chunk={c}")
+        finally:
+            self._fs.delete(self._path(work), True)
         return len(missing)
 
     def read(self) -> DataFrame:
