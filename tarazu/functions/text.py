@@ -65,6 +65,12 @@ def md_escape(c: Column) -> Column:
     return F.regexp_replace(c, r"([\\`*_{}\[\]()<>#+\-.!|~$&])", r"\\$1")
 
 
+def plain_number(c: Column) -> Column:
+    """A decimal as plain digits: no exponent, no zeros at the end of the fraction, no point without one."""
+    shown = c.cast("decimal(38,6)").cast("string")
+    return F.regexp_replace(F.regexp_replace(shown, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
+
+
 def format_number(c: Column) -> Column:
     """Thousands separators, no trailing zeros of the fraction."""
     return F.regexp_replace(F.format_number(c.cast("decimal(38,6)"), 6), r"\.?0+$", "")

@@ -126,6 +126,23 @@ def lookup_ids(catalog: DataFrame, ids: DataFrame, as_of: str) -> DataFrame:
     return asked.join(history, "sstid", "left").select("sstid", F.coalesce("n_rows", F.lit(0)).alias("n_rows"), "any_in_force")
 
 
+def output_rows(catalog: DataFrame, as_of: str) -> DataFrame:
+    """Rows as they are shown: ``row_n``, the fields with the title on one line, and ``in_force`` (yes or no) on a day."""
+    title = F.trim(F.regexp_replace("DescriptionOfID", r"(?U)\s+", " "))
+    return catalog.select("row_n", F.col("ID").alias("sstid"), title.alias("title"), "Vat", "Taxable", "Type", "RunDate", "ExpirationDate", F.when(in_force(as_of), "yes").otherwise("no").alias("in_force"))
+
+
+def history_rows(catalog: DataFrame, ids: DataFrame, as_of: str) -> DataFrame:
+    """All rows of the distinct IDs asked for, as :func:`output_rows` shows them; an ID the catalog does not have gives none."""
+    asked = ids.select("sstid").where("sstid IS NOT NULL").distinct()
+    return output_rows(catalog, as_of).join(asked, "sstid", "left_semi")
+
+
+def last_types(catalog: DataFrame) -> DataFrame:
+    """``(ID, Type)``: the type that the last row of each ID has, by row number."""
+    return catalog.where("ID IS NOT NULL").groupBy("ID").agg(F.max_by("Type", "row_n").alias("Type"))
+
+
 def version_gaps(rows: DataFrame) -> DataFrame:
     """Consecutive versions of an ID by how the next start follows the end: next_day, gap, overlap, open.  Versions of one day are one,
     with the latest end, before the window, so that an entity has at most as many rows as days."""

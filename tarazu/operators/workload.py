@@ -169,6 +169,33 @@ def subset_matches(rows: DataFrame, ids: str, tokens: str, queries: DataFrame, q
     return queries.select(query).join(n, query, "left").select(query, F.coalesce("n_ids", F.lit(0)).alias("n_ids"))
 
 
+def match_ids(rows: DataFrame, ids: str, tokens: str, queries: DataFrame, query: str, wanted: str, cap: int, exclude: DataFrame | None = None) -> DataFrame:
+    """``(query, ids, n_ids)``: the IDs :func:`subset_ids` finds, in order, at most ``cap`` of them for a query, and their number: ``cap`` means as many or
+    more.  IDs of ``exclude`` (a column ``ids``) are no answers.  Queries that match nothing have an empty list."""
+    held = rows if exclude is None else rows.join(exclude.select(ids).where(F.col(ids).isNotNull()).distinct(), ids, "left_anti")
+    found = subset_ids(held, ids, tokens, queries, query, wanted)
+    kept = stratified(found, [query], [F.col("__id")], cap)  # a top-n window: a query that every ID answers sends cap rows a task
+    listed = kept.groupBy(query).agg(F.sort_array(F.collect_list("__id")).alias("ids"))
+    none = F.array().cast("array<string>")
+    return queries.select(query).join(listed, query, "left").select(query, F.coalesce("ids", none).alias("ids"), F.size(F.coalesce("ids", none)).alias("n_ids"))
+
+
+def seller_text(title: Column, key: Column) -> Column:
+    """A title as sellers type it: half of those with a slash lose what follows it, slashes become blanks, and three changes come in three of ten each:
+    Arabic letters, Persian digits, one blank as ZWNJ.  Which, by a digest of ``key``, so that a rebuild gives the same."""
+    digest = F.md5(key.cast("string"))
+    draw = lambda i: F.conv(F.substring(digest, 1 + 6 * i, 6), 16, 10).cast("long")
+    hit = lambda i, share: draw(i) < int(share * (1 << 24))
+    short = F.when(title.contains("/") & hit(0, 0.5), F.substring_index(title, "/", 1)).otherwise(title)
+    t = F.trim(F.regexp_replace(F.replace(short, F.lit("/"), F.lit(" ")), r"(?U)\s+", " "))
+    t = F.when(hit(1, 0.3), F.translate(t, "یک", "يك")).otherwise(t)
+    t = F.when(hit(2, 0.3), F.translate(t, tx.LATIN_DIGITS, tx.PERSIAN_DIGITS)).otherwise(t)
+    parts = F.split(t, " ")
+    k = (draw(4) % (F.size(parts) - 1)).cast("int") + 1
+    joined = F.concat(F.array_join(F.slice(parts, F.lit(1), k), " "), F.lit(tx.ZWNJ), F.array_join(F.slice(parts, k + 1, F.size(parts)), " "))
+    return F.when(hit(3, 0.3) & (F.size(parts) > 1), joined).otherwise(t)
+
+
 def vague_only(text: Column, words: list[str]) -> Column:
     """Whether every token that is no number is one of the listed words; true for no tokens at all."""
     listed = F.array(*(F.lit(w) for w in words))

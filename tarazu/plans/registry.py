@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
-_MODULES = ("problems", "quality", "texts", "ranking", "measures", "workload", "vectors")
+_MODULES = ("problems", "quality", "texts", "ranking", "measures", "workload", "lists", "vectors")
 
 
 def query(sql: str | None = None):

@@ -83,12 +83,18 @@ def _drop(spark: SparkSession, path: str) -> None:
         pass
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, removed when the driver exits."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if os.environ.get("TARAZU_KEEP_STAGED") != "1":
+        atexit.register(_drop, spark, path)
+    return path
+
+
 def stage_table(df: DataFrame, name: str, **write_options: str) -> DataFrame:
     """Write ``df`` as a Parquet table into the shared folder and read it back: lineage is cut, the result is
     columnar and survives the loss of executors.  Removed when the driver exits."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     df.write.options(**write_options).parquet(path)
-    if os.environ.get("TARAZU_KEEP_STAGED") != "1":
-        atexit.register(_drop, spark, path)
     return spark.read.schema(df.schema).parquet(path)

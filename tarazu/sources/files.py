@@ -125,4 +125,16 @@ def file_digests(spark: SparkSession, path: str) -> DataFrame:
 def write_csv(df: DataFrame, path: str, order: list[Column | str]) -> None:
     """One CSV with a header, ``\\n`` line ends and rows in a total order, so a rebuild gives the same bytes.  For reports and query sets, not
     for data of any size: it goes through one task."""
-    df.orderBy(*order).coalesce(1).write.mode("overwrite").options(header=True, lineSep="\n", escape='"', emptyValue="").csv(path)
+    df.orderBy(*order).coalesce(1).write.mode("overwrite").options(header=True, lineSep="\n", escape='"', emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+
+
+def read_json_map(spark: SparkSession, path: str, value: str = "string") -> DataFrame:
+    """``(key, value)`` of JSON files that hold one map each, values of the DDL type ``value``; a file that is no map of them fails.  A map is read
+    whole: reports and metadata, not data of any size."""
+    whole = spark.read.text(path, wholetext=True).select(F.from_json("value", f"map<string,{value}>", {"mode": "FAILFAST"}).alias("m"))
+    return whole.select(F.explode("m").alias("key", "value"))
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """One JSON line for each row in one file, nulls written out.  For reports, not for data of any size."""
+    df.coalesce(1).write.mode("overwrite").options(ignoreNullFields=False).json(path)

@@ -269,6 +269,29 @@ def test_quotas_and_samples(spark):
     assert wl.emit_until(late.limit(0), "c", "q", "t", "n").count() == 0
 
 
+def test_match_lists_have_a_cap_and_leave_out(spark):
+    rows = spark.createDataFrame([("a", ["x", "y"]), ("b", ["x"]), ("c", ["x", "z"]), ("c", ["x", "z"]), (None, ["x"]), ("d", None)], "id string, t array<string>")
+    q = spark.createDataFrame([(1, ["x"]), (2, ["x", "z"]), (3, ["nothing"]), (4, [])], "q int, w array<string>")
+    out = spark.createDataFrame([("a",), (None,)], "id string")
+    got = {r.q: (r.ids, r.n_ids) for r in wl.match_ids(rows.where("id IS NOT NULL"), "id", "t", q, "q", "w", 2).collect()}
+    assert got == {1: (["a", "b"], 2), 2: (["c"], 1), 3: ([], 0), 4: ([], 0)}
+    got = {r.q: r.ids for r in wl.match_ids(rows.where("id IS NOT NULL"), "id", "t", q, "q", "w", 5, out).collect()}
+    assert got[1] == ["b", "c"] and wl.match_ids(rows.limit(0), "id", "t", q, "q", "w", 2).count() == 4
+
+
+def test_json_maps_and_reports(spark, tmp_path):
+    from tarazu.sources.files import read_json_map, write_json
+
+    (tmp_path / "m.json").write_text('{"1": {"n": 2, "tier": "S"},\n "2": {"n": null, "tier": "C"}}')
+    got = read_json_map(spark, str(tmp_path / "m.json"), "struct<n:int,tier:string>").select("key", "value.*").collect()
+    assert sorted(map(tuple, got)) == [("1", 2, "S"), ("2", None, "C")]
+    write_json(spark.createDataFrame([(1, None)], "a int, b string"), str(tmp_path / "r"))
+    assert [p.read_text() for p in (tmp_path / "r").glob("*.json")] == ['{"a":1,"b":null}\n']
+    (tmp_path / "bad.json").write_text("[1, 2]")
+    with pytest.raises(Exception):
+        read_json_map(spark, str(tmp_path / "bad.json")).collect()
+
+
 def test_noise(spark):
     texts = ["کتاب خانه بزرگ", "یک", "", None, "alpha beta gamma", "1234 ab", "بببب x", "aaa1 x"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
