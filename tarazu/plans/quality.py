@@ -13,6 +13,7 @@ from tarazu.operators.intervals import periods_and_gaps
 from tarazu.operators.rates import parse_line, rate_at
 from tarazu.plans.problems import _TAXABLE_SQL, calendar_sql, day_number_sql, valid_rows
 from tarazu.plans.registry import query
+from tarazu.session import stage_table
 from tarazu.sources.tables import CATALOG_COLUMNS, both_catalogs, is_id, table
 
 AS_OF = "1403-07-01"
@@ -181,7 +182,8 @@ SELECT line_id, g.sstid, issue_date, CASE WHEN NOT ok THEN 'INVALID_DATE' WHEN n
 
 
 def _rates(spark: SparkSession, folder: str, strict: bool) -> DataFrame:
-    c = classified(spark, folder, both=True)
+    # Read for the versions and for the IDs' states: classified once.
+    c = stage_table(classified(spark, folder, both=True), "classified")
     rows = cat.active(c) if strict else c.where(~F.col("is_extra_copy") & ~F.array_contains("reasons", "R3") & ~F.array_contains("reasons", "R4"))
     got = rate_at(table(spark, folder, "demo_invoices"), cat.versions(rows), cat.id_status(c))
     return got.select("line_id", "sstid", "issue_date", "status", F.col("rate").cast("double").alias("rate"), "valid_from", "n_candidates")
