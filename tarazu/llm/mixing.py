@@ -87,7 +87,10 @@ def copies(u: Column, mean: Column, cap: Column) -> Column:
         below = acc["below"] + F.exp(acc["log_p"])
         return F.struct((acc["log_p"] + F.ln(mean) - F.ln(k + 1)).alias("log_p"), below.alias("below"), (acc["n"] + (u >= below).cast("int")).alias("n"))
 
-    drawn = F.aggregate(F.sequence(F.lit(0), cap - 1), start, step, lambda acc: acc["n"])
+    # Nothing is left above forty deviations: a cap may be of any size.
+    finite = F.least(mean, F.lit(1e9))
+    most = F.least((cap - 1).cast("long"), F.ceil(finite + 40 * F.sqrt(finite) + 60).cast("long"))
+    drawn = F.aggregate(F.sequence(F.lit(0).cast("long"), most), start, step, lambda acc: acc["n"])
     return F.when((mean <= 0) | (cap < 1), 0).when(mean == math.inf, cap).otherwise(drawn)
 
 
