@@ -5,6 +5,7 @@ import random
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -152,6 +153,56 @@ def test_dated_ranking(spark):
     assert got == [("1", 1, 1), ("2", 1, 2), ("2", 2, 3)]
 
 
+def test_ranking_in_segments_and_parts(spark, monkeypatch):
+    monkeypatch.setattr(bm, "SEGMENT", 400)
+    monkeypatch.setattr(bm, "QUERY_PART", 3)
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(60)]
+    spread = [1 / (i + 1) for i in range(60)]
+    docs = [(i, f"id{rng.randrange(300):03d}", rng.choices(words, spread, k=rng.randrange(1, 9)), f"1403-0{rng.randrange(1, 5)}-01", rng.choice([None, "1403-06-01", "1403-03-01"])) for i in range(1500)]
+    queries = [(str(q), rng.choices([*words, "z"], [*spread, 0.1], k=rng.randrange(0, 7)), f"1403-0{rng.randrange(1, 8)}-15", f"id{rng.randrange(320):03d}") for q in range(40)]
+    d = spark.createDataFrame(docs, "doc long, sstid string, tokens array<string>, valid_from string, valid_to string").repartition(4)
+    q = spark.createDataFrame(queries, "query string, tokens array<string>, day string, declared string")
+    rows = bm.rank(d, q, 5, tie="id", dated=True, declared=True).collect()
+    for name, tokens, day, declared in queries:
+        scores = naive_bm25([r[:3] for r in docs], tokens)
+        best = {}
+        for doc, s in scores.items():
+            if docs[doc][3] <= day < (docs[doc][4] or "9999"):
+                best[docs[doc][1]] = max(s, best.get(docs[doc][1], 0))
+        want = sorted(best.items(), key=lambda x: (-x[1], x[0]))[:5]
+        assert [(i, s) for _, i, s in sorted((r.rank, r.sstid, r.score) for r in rows if r.query == name and r.kind == "top")] == want
+        own = max((s for doc, s in scores.items() if docs[doc][1] == declared), default=0)
+        assert [r.score for r in rows if r.query == name and r.kind == "own"] == [own] * (own > 0)
+
+
+def test_common_terms_are_not_added_to_all_their_documents(spark):
+    rng = random.Random(3)
+    docs = [(i, f"id{i:04d}", ["all", f"some{rng.randrange(8)}", f"few{rng.randrange(60)}"], "1403-01-01", "9999-99-99") for i in range(4000)]
+    d = spark.createDataFrame(docs, "doc long, sstid string, tokens array<string>, valid_from string, valid_to string")
+    names = ["all", *(f"some{i}" for i in range(8)), *(f"few{i}" for i in range(60))]
+    df = np.array([sum(t in r[2] for r in docs) for t in names])
+    seg = bm._Segment(bm.build_index(d).toArrow().to_batches(), pa.array(names, pa.large_string()), np.log(1 + (4000 - df + 0.5) / (df + 0.5)), 3.0, True)
+    days = seg.date(pa.array(["1403-05-01"] * 60, pa.large_string()))
+
+    class Read:
+        def __init__(self, column):
+            self.column, self.rows = column, 0
+
+        def __getitem__(self, own):
+            self.rows += own.stop - own.start
+            return self.column[own]
+
+    seg.start = read = Read(seg.start)
+    ids = np.array([int(i[2:]) for i in seg.columns["sstid"].to_pylist()])
+    at = seg.columns["doc"].to_numpy()
+    asked = [(n, np.array([9 + n, 1 + n % 8, 0])) for n in range(60)]
+    for n, found, score, _ in bm._search(seg, asked, 5, True, ids, at, days, False):
+        want = sorted(((round(sum(math.log(1 + (4000 - df[t] + 0.5) / (df[t] + 0.5)) for t in asked[n][1] if names[t] in r[2]), bm.DIGITS), r[0]) for r in docs), key=lambda x: (-x[0], x[1]))[:5]
+        assert [(int(at[f]), float(s)) for f, s in zip(found, score)] == [(doc, s) for s, doc in want]
+    assert read.rows < 0.2 * sum(df[t].sum() for _, t in asked)
+
+
 def test_random_ids(spark):
     docs = spark.createDataFrame([(f"id{i:03d}",) for i in range(300)] * 2, "sstid string")
     q = spark.createDataFrame([(str(i),) for i in range(200)], "query string")
