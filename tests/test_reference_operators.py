@@ -16,6 +16,7 @@ from tarazu.operators import retrieval as bm
 from tarazu.operators import vectors as vec
 from tarazu.operators import workload as wl
 from tarazu.operators.rates import parse_line, rate_at
+from tarazu.plans import ranking
 from tarazu.sources.tables import CATALOG_COLUMNS
 
 GOODS, GENERAL = "شناسه اختصاصی تولید داخل", "شناسه عمومی وارداتی"
@@ -203,6 +204,23 @@ def test_common_terms_are_not_added_to_all_their_documents(spark):
     assert read.rows < 0.2 * sum(df[t].sum() for _, t in asked)
 
 
+@pytest.fixture
+def lines_folder(spark, tmp_path):
+    titles = ["red paper", "red pipe", "blue paper", "red paper two", "green pipe", "red", "old red paper"]
+    rows = [row(n, f"29000000000{n:02d}", "1402-01-01", title=t) for n, t in enumerate(titles)]
+    spark.createDataFrame(rows, CATALOG).write.parquet(f"{tmp_path}/fake_catalog.parquet")
+    spark.createDataFrame([row(99, "2700000000099", "1402-01-01", title="red tool", type_=GENERAL)], CATALOG).write.parquet(f"{tmp_path}/fake_catalog_general.parquet")
+    lines = [("L0000000050", "1403-01-01", "2900000000000", "red paper", "vat"), ("L0000000051", "1403-01-01", "2900000000001", "red pipe", "vat"), ("L0000000100", "1403-01-01", "2900000000002", "paper", None), ("L0000000150", "1401-01-01", "2900000000002", "paper", "vat")]
+    spark.createDataFrame(lines, "line_id string, issue_date string, sstid string, sstt string, labels string").write.parquet(f"{tmp_path}/demo_invoices.parquet")
+    return str(tmp_path)
+
+
+def test_features_read_the_lines_once(spark, lines_folder):
+    f = ranking.bm25_features(spark, lines_folder)
+    assert not any("demo_invoices" in x for x in f.inputFiles())  # read before, when the lines asked for were written
+    assert [(r.line_id, r.rank_declared, r.n_ranked) for r in f.sort("line_id").collect()] == [("L0000000050", 1, 7), ("L0000000100", 2, 4), ("L0000000150", 21, 0)]
+
+
 def test_random_ids(spark):
     docs = spark.createDataFrame([(f"id{i:03d}",) for i in range(300)] * 2, "sstid string")
     q = spark.createDataFrame([(str(i),) for i in range(200)], "query string")
