@@ -221,6 +221,14 @@ def test_features_read_the_lines_once(spark, lines_folder):
     assert [(r.line_id, r.rank_declared, r.n_ranked) for r in f.sort("line_id").collect()] == [("L0000000050", 1, 7), ("L0000000100", 2, 4), ("L0000000150", 21, 0)]
 
 
+def test_alternatives_rank_no_more_than_they_show(spark, lines_folder, monkeypatch):
+    top = ranking.bm25_topk(spark, lines_folder).where("rank <= 5").sort("line_id", "rank").collect()
+    asked, rank = [], bm.rank
+    monkeypatch.setattr(bm, "rank", lambda docs, queries, k, **more: asked.append(k) or rank(docs, queries, k, **more))
+    got = {r.line_id: r.ids for r in ranking.alternatives(spark, lines_folder).collect()}
+    assert got == {i: " ".join(r.sstid for r in top if r.line_id == i) for i in ("L0000000050", "L0000000100")} and asked == [5]
+
+
 def test_random_ids(spark):
     docs = spark.createDataFrame([(f"id{i:03d}",) for i in range(300)] * 2, "sstid string")
     q = spark.createDataFrame([(str(i),) for i in range(200)], "query string")
