@@ -229,6 +229,15 @@ def test_alternatives_rank_no_more_than_they_show(spark, lines_folder, monkeypat
     assert got == {i: " ".join(r.sstid for r in top if r.line_id == i) for i in ("L0000000050", "L0000000100")} and asked == [5]
 
 
+def test_labels_of_lines_that_have_features(spark, lines_folder):
+    from tarazu.plans.measures import features_by_label
+
+    f = features_by_label(spark, lines_folder)
+    plan = f._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert sum("% 50" in x and "line_id" in x for x in plan) == 1, plan  # other lines have no features: left out before they are made distinct
+    assert {r.label: r.n for r in f.collect()} == {"vat": 2, "clean": 1}
+
+
 def test_random_ids(spark):
     docs = spark.createDataFrame([(f"id{i:03d}",) for i in range(300)] * 2, "sstid string")
     q = spark.createDataFrame([(str(i),) for i in range(200)], "query string")
